@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from quire.llm.common import documents
+from quire.llm.language_id import identify
+from quire.llm.mixing import mix
+from quire.llm.sharding import shard
 from quire.llm.token_count import count_tokens
 
 
@@ -10,8 +13,23 @@ def op4_token_count(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir))
 
 
+def op7_sharding(spark, sf_dir):
+    return shard(documents(spark, sf_dir))
+
+
+def op9_mixing(spark, sf_dir):
+    return mix(documents(spark, sf_dir)).drop("source")
+
+
+def op10_language_id(spark, sf_dir):
+    return identify(documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op4_token_count": op4_token_count,
+    "op7_sharding": op7_sharding,
+    "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
