@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from quire.llm.common import documents
+from quire.llm.html_text import extract
 from quire.llm.language_id import identify
+from quire.llm.media import media_columns
 from quire.llm.mixing import mix
 from quire.llm.sharding import shard
 from quire.llm.token_count import count_tokens
 
 
+def op2_html_extraction(spark, sf_dir):
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_token_count(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir))
 
 
+def op5_media_columns(spark, sf_dir):
+    return media_columns(documents(spark, sf_dir))
+
+
 def op7_sharding(spark, sf_dir):
     return shard(documents(spark, sf_dir))
 
@@ -26,7 +36,9 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op4_token_count": op4_token_count,
+    "op5_media_columns": op5_media_columns,
     "op7_sharding": op7_sharding,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
