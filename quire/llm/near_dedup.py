@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import JACCARD, SHINGLE_WORDS, Scratch, mix64, row_pieces, shingle_set, shingles, spread, words
@@ -23,6 +23,9 @@ PLACES = 3
 #: Signatures that differ in more places than this are not candidates; up to it none is missed.
 RADIUS = CHUNKS * 2 - 1
 
+#: Shingles of texts that a worker keeps while it confirms pairs.
+CACHE_SHINGLES = 4_000_000
+
 _SEEDS = spread(CHUNKS * PLACES, 31)
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 _U = np.uint64
@@ -91,16 +94,30 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS, th
     p, q = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(key: int, text) -> np.ndarray:
+            nonlocal held
+            if (got := sets.get(key)) is None:
+                if held > CACHE_SHINGLES:
+                    sets.clear()
+                    held = 0
+                got = sets[key] = shingle_set((text.as_py() or "").encode(), width)
+                held += len(got)
+            return got
+
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
+            ids = list(zip(a.to_pylist(), b.to_pylist(), strict=True))
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                if (key := a[i].as_py()) != last:
-                    last, last_set = key, shingle_set((batch.column(2)[i].as_py() or "").encode(), width)
-                other = shingle_set((batch.column(3)[i].as_py() or "").encode(), width)
-                common = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep[i] = common and q * common >= p * (len(last_set) + len(other) - common)
+            for i, (j, k) in enumerate(ids):
+                one, two = of(j, batch.column(2)[i]), of(k, batch.column(3)[i])
+                if len(one) > len(two):
+                    one, two = two, one
+                at = np.searchsorted(two, one)
+                common = int((two[np.minimum(at, len(two) - 1)] == one).sum()) if len(one) else 0
+                keep[i] = common and q * common >= p * (len(one) + len(two) - common)
             m = pa.array(keep)
             yield pa.RecordBatch.from_arrays([a.filter(m), b.filter(m)], ["a", "b"])
 
@@ -133,30 +150,58 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, threshold=JACCA
     pairs = scratch.save(near(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), own, threshold))
     ids = shared.select("id").distinct()
     texts = scratch.save(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    tested = pairs
     links = scratch.save(confirmed(pairs, texts, width, threshold))
-    while True:
-        found = components(links, scratch)
-        more = _untested(shared, found, tested, own, threshold, scratch)
-        if more is None:
-            break
-        tested = scratch.save(tested.unionByName(more))
+    found = components(links, scratch)
+    more = untested(shared, found, pairs, own, texts, width, threshold, scratch)
+    if not more.isEmpty():
         links = scratch.save(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(more, texts, width, threshold)))
+        found = components(links, scratch)
     rep = classes.where("n > 1").drop("n")
     out = sigs.drop("sig").join(rep, ["n_shingles", "d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(found, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
-def _untested(shared: DataFrame, found: DataFrame, tested: DataFrame, own: DataFrame, threshold, scratch: Scratch) -> DataFrame | None:
-    """Candidate pairs under a common key, of two components, not tested yet; None if there is none."""
-    owner = scratch.save(shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-    mixed = scratch.save(owner.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"))
-    rows = scratch.save(owner.join(mixed, "key"))
-    left = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    pairs = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    more = scratch.save(near(pairs, own, threshold))
-    scratch.drop(owner, mixed, rows)
-    return None if more.isEmpty() else more
+def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """id, n and one distinct shingle of each text in every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0), np.int64)
+            for i, text in enumerate(batch.column(1)):
+                own = shingle_set((text.as_py() or "").encode(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[i])), pa.array(np.full(len(own), len(own))), pa.array(own)], ["id", "n", "s"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, s long")
+
+
+def untested(shared: DataFrame, found: DataFrame, tested: DataFrame, own: DataFrame, texts: DataFrame, width: int, threshold, scratch: Scratch) -> DataFrame:
+    """All pairs of two components that share an index key, can reach the threshold and were not tested.
+
+    The pairs are not listed key by key, which would grow with the square of a common passage's documents. A text whose
+    shingles occur elsewhere among these texts to less than the threshold cannot link and leaves. The rest are joined
+    on their rarest shingles, as many as a pair at the threshold cannot do without, and then held to the signature radius.
+    """
+    p, q = threshold
+    owner = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = owner.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    left = scratch.save(shared.select("key", "id").join(mixed, "key", "left_semi").select("id").distinct())
+    rows = scratch.save(shingle_rows(texts.join(left, "id", "left_semi"), width))
+    for _ in range(2):
+        lone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("lone"))
+        size = rows.select("id", "n").distinct()
+        alive = size.join(lone, "id", "left").where(f"(n - coalesce(lone, 0)) * {q} >= n * {p}").select("id")
+        kept = scratch.save(rows.join(alive, "id", "left_semi"))
+        scratch.drop(rows)
+        rows = kept
+    often = rows.groupBy("s").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
+    prefix = scratch.save(rows.join(often.where("f > 1"), "s", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("place", place).where(f"place <= n - ceil(n * {p} / {q}) + 1 and f > 1").select("id", "n", "s", "place").join(found, "id", "left").select("id", "n", "s", "place", F.coalesce("component", "id").alias("c")))
+    a = prefix.select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("c").alias("ca"))
+    b = prefix.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("c").alias("cb"))
+    # what can still be common from the first common shingle on must reach the overlap that the threshold asks for
+    reach = f"(1 + least(na - pa, nb - pb)) * {p + q} >= (na + nb) * {p}"
+    pairs = a.join(b, "s").where(f"a < b and ca <> cb and least(na, nb) * {q} >= greatest(na, nb) * {p} and {reach}").select("a", "b").distinct()
+    more = scratch.save(near(pairs.join(tested, ["a", "b"], "left_anti"), own, threshold))
+    scratch.drop(rows, prefix)
+    return more
