@@ -1,10 +1,62 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, near-dedup, benchmark decontamination, mixing to target weights, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
+stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm.common import Scratch, documents
+from quire.llm.decontamination import clean
+from quire.llm.language_id import identify
+from quire.llm.mixing import mixed
+from quire.llm.near_dedup import deduplicated
+from quire.llm.sharding import shard
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier accepts; it learns from this input's labelled rows that are not held out."""
+    return identify(docs).where("not rejected").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to target weights takes them."""
+    return mixed(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard: doc_id, source, lang, n_bytes, shard_id, shard_bits, shard_bytes, fits."""
+    return shard(docs, keep=["doc_id", "source", "lang"])
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: Near-duplicate components and the trained classifier are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents table."""
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return docs

@@ -102,3 +102,14 @@ def _quotas(keyed: DataFrame, repeats: int, block_words: int) -> DataFrame:
     change = F.when((missing > 0) & (F.col("place") <= missing), 1).when((missing < 0) & (F.col("place") <= -missing) & (F.col("seats") > 0), -1).otherwise(0)
     quota = F.least((F.col("seats") + change) * block_words, F.col("words") * repeats)
     return shard.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "words", quota.alias("quota"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them in whole texts, with all their columns.
+
+    A document stands round(taken / size) times: only the one document at a shard's last block is rounded. Rows with the
+    same doc_id share their common quotient. Documents without words, or whose words the mix leaves, go.
+    """
+    share = mix(docs, **how).groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    out = docs.join(share, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

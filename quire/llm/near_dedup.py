@@ -205,3 +205,9 @@ def untested(shared: DataFrame, found: DataFrame, tested: DataFrame, own: DataFr
     more = scratch.save(near(pairs.join(tested, ["a", "b"], "left_anti"), own, threshold))
     scratch.drop(rows, prefix)
     return more
+
+
+def deduplicated(docs: DataFrame, width: int = SHINGLE_WORDS, threshold=JACCARD) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns."""
+    gone = near_duplicates(docs, width, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from quire.llm.common import documents
+from quire.llm.decontamination import contaminated
 from quire.llm.html_text import extract
 from quire.llm.language_id import identify
 from quire.llm.media import media_columns
 from quire.llm.mixing import mix
+from quire.llm.near_dedup import near_duplicates
 from quire.llm.sharding import shard
 from quire.llm.token_count import count_tokens
 
@@ -15,6 +17,10 @@ def op2_html_extraction(spark, sf_dir):
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op4_token_count(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir))
 
@@ -27,6 +33,10 @@ def op7_sharding(spark, sf_dir):
     return shard(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark, sf_dir):
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("source")
 
@@ -37,9 +47,11 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
+    "op3_near_dedup": op3_near_dedup,
     "op4_token_count": op4_token_count,
     "op5_media_columns": op5_media_columns,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
