@@ -10,9 +10,14 @@ from quire.llm.media import media_columns
 from quire.llm.mixing import mix
 from quire.llm.near_dedup import near_duplicates
 from quire.llm.sharding import shard
+from quire.llm.suffix_dedup import repeated_strings
 from quire.llm.token_count import count_tokens
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeated_strings(documents(spark, sf_dir))
+
+
 def op2_html_extraction(spark, sf_dir):
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -46,6 +51,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_near_dedup": op3_near_dedup,
     "op4_token_count": op4_token_count,
