@@ -6,6 +6,7 @@ from quire.llm.common import documents
 from quire.llm.decontamination import contaminated
 from quire.llm.html_text import extract
 from quire.llm.language_id import identify
+from quire.llm.line_dedup import deduplicate_lines
 from quire.llm.media import media_columns
 from quire.llm.mixing import mix
 from quire.llm.near_dedup import near_duplicates
@@ -34,6 +35,10 @@ def op5_media_columns(spark, sf_dir):
     return media_columns(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return deduplicate_lines(documents(spark, sf_dir))
+
+
 def op7_sharding(spark, sf_dir):
     return shard(documents(spark, sf_dir))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_token_count": op4_token_count,
     "op5_media_columns": op5_media_columns,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
