@@ -41,7 +41,7 @@ def merge_rows(lines: DataFrame, block: str = "block_no") -> DataFrame:
     merged = rows.select(
         *_PAGE, block, F.get("g", F.lit(0))["line_no"].alias("line_no"),
         F.when(F.size("g") == 1, F.get("g", F.lit(0))["spans"]).otherwise(F.aggregate(by_x, empty, glue)).alias("spans"),
-        *(F.array_min(F.transform("g", lambda l, c=c: l[c])).alias(c) for c in ("x0", "y0")), *(F.array_max(F.transform("g", lambda l, c=c: l[c])).alias(c) for c in ("x1", "y1")),  # noqa: E741
+        F.array_min("g.x0").alias("x0"), F.array_min("g.y0").alias("y0"), F.array_max("g.x1").alias("x1"), F.array_max("g.y1").alias("y1"),
         "width", "height",
     )
     return merged
