@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,11 @@ class Scratch:
         out._quire_path = path
         return out
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now, not whenever the driver next collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of save() that no later plan reads."""
         for df in frames:

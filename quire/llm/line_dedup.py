@@ -5,43 +5,67 @@ similar line cannot do without. Lines meet on prefix words; a pair goes on if it
 the common word (positional filter) and the parity of its word hashes (a bound on the symmetric difference) allow the
 threshold. The Jaccard similarity of the rest is verified on full sets, and the later line of a pair is removed.
 
-Words are 59 bits of a 64-bit hash. Their order is by the total count of the words in one of 4,096 hash buckets, then by
-hash: a fixed-size statistic over all texts, so that ordering needs no join with a vocabulary.
+Words are 64-bit hashes. Rarity is the count of a word's hash bucket over all texts, on a scale of 120 steps, in a table
+of 2**18 bytes: a statistic of fixed size that is part of the plan, so that ordering words needs no join with a
+vocabulary. Any order that all lines share gives the same result; rarity only keeps the groups that meet small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import JACCARD, Scratch
 
-BUCKET_BITS = 12
-_LOW = 59 - BUCKET_BITS
-_BLANKS = r"[\x20\x09-\x0D]+"
+BUCKET_BITS = 18
+_KEPT = 56
+#: Passes over the prefix words: each moves this share of them, and their shuffle files go before the next.
+PASSES = 4
+_BLANK = r"[\x20\x09-\x0D]"
+_ODD_BLANK = r"[\x09\x0B-\x0D]"
+
+
+def split_words(text: Column) -> Column:
+    """Words and perhaps empty strings; spaces and line feeds part at the least cost, other blanks by pattern."""
+    return F.when(F.regexp_like(text, F.lit(_ODD_BLANK)), F.split(text, _BLANK)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+
 
+def _bucket(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - BUCKET_BITS).cast("int")
 
-def bucket_ranks(docs: DataFrame) -> list[int]:
-    """The rank by count, rarest first, of each hash bucket of words, over all texts."""
-    word = docs.select(F.explode(F.split("text", _BLANKS)).alias("w"))
-    counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).agg(F.count("*").alias("n")).collect()
-    count = dict.fromkeys(range(1 << BUCKET_BITS), 0) | {r["b"]: r["n"] for r in counts}
-    ranks = [0] * len(count)
-    for i, b in enumerate(sorted(count, key=lambda b: (count[b], b))):
-        ranks[b] = i
-    return ranks
 
+def rarity_table(docs: DataFrame) -> bytearray:
+    """A byte for each hash bucket: the logarithm of its word count over all texts (1 to 120)."""
+    word = docs.select(F.explode(split_words(F.col("text"))).alias("w"))
+    counts = word.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    out = np.ones(1 << BUCKET_BITS, np.uint8)
+    out[counts.column("b").to_numpy()] = 1 + np.minimum(119, np.log2(counts.column("n").to_numpy() + 1) * 4)
+    return bytearray(out.tobytes())
 
-def word_sets(line: Column, ranks: list[int]) -> Column:
-    """The line's distinct words as longs in order of rarity: bucket rank, then the hash bits below the bucket's."""
-    table = F.expr(f"array({','.join(map(str, ranks))})")
-    mask = (1 << _LOW) - 1
 
-    def pack(h: Column) -> Column:
-        return F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")).cast("long"), _LOW).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+def _line_ids(every: DataFrame) -> tuple[Column, str]:
+    """A long that orders lines by (doc_id, line_no), and the column to take minima by; where doc_ids leave no room, a struct to sort by."""
+    r = every.agg(F.max("line_no").alias("lines"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    span = (r["lines"] or 0) + 1
+    if r["low"] is None or max(abs(r["low"]), abs(r["high"]) + 1) * span < 1 << 62:
+        return F.col("doc_id") * span + F.col("line_no"), "id"
+    return F.lit(None).cast("long"), "doc_id"
 
-    hashes = F.transform(F.split(line, _BLANKS), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(hashes, pack)), pack(F.xxhash64(F.lit("")))))
+
+def word_sets(line: Column, table: bytearray) -> Column:
+    """The line's distinct words as longs in order of rarity: the bucket's rank, then 56 bits of the hash."""
+    ranks = F.lit(table)
+    mask = F.lit((1 << _KEPT) - 1)
+
+    def pack(word: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, _bucket(word) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(F.coalesce(rank, F.lit(1)).cast("long"), _KEPT).bitwiseOR(F.xxhash64(word).bitwiseAND(mask))
+
+    packed = F.array_distinct(F.transform(split_words(line), pack))
+    return F.sort_array(F.array_remove(packed, pack(F.lit(""))))
 
 
 def _needed(n: str, threshold) -> str:
@@ -55,43 +79,83 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """All lines that have an equal or similar line before them, as doc_id, line_no; and doc_id, n_lines of all rows with text."""
+def _allowed(za: str, zb: str, a: str, b: str, p: int, q: int) -> str:
+    """May lines with a common prefix word reach the threshold p / q? z: size in the high half, the word's place (from 0) in the low one."""
+    na, nb = f"shiftright({za}, 32)", f"shiftright({zb}, 32)"
+    ia, ib = f"({za} & 4294967295)", f"({zb} & 4294967295)"
+    size = f"least({na}, {nb}) * {q} >= greatest({na}, {nb}) * {p}"
+    place = f"least({na} - {ia}, {nb} - {ib}) * {p + q} >= ({na} + {nb}) * {p}"
+    # the symmetric difference of sets at the threshold is at most (q - p) / (q + p) of the sum of sizes
+    apart = f"(bit_count({a}bits ^ {b}bits) + bit_count({a}odd ^ {b}odd)) * {p + q} <= ({na} + {nb}) * {q - p}"
+    return f"{size} and {place} and {apart}"
+
+
+def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, table: bytearray, threshold, scratch: Scratch) -> DataFrame:
+    """ib: the later lines of the pairs (ia, ib) whose full sets reach the threshold."""
+    p, q = threshold
+    wanted = pairs.select(F.col("ia").alias("id")).unionByName(pairs.select(F.col("ib").alias("id"))).distinct()
+    by_doc = first.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line_no")).alias("ls")).withColumnRenamed("doc_id", "d")
+    again = docs.join(by_doc, F.col("doc_id") == F.col("d")).select(F.explode("ls").alias("l"), F.split("text", "\n").alias("t"))
+    full = scratch.save(again.select(F.col("l.id").alias("id"), word_sets(F.get("t", F.col("l.line_no")), table).alias("w")))
+    scratch.settle()
+    x = full.select(F.col("id").alias("ia"), F.col("w").alias("x"))
+    y = full.select(F.col("id").alias("ib"), F.col("w").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(x, "ia").join(y, "ib")
+    return both.where((common * q >= p * (F.size("x") + F.size("y") - common)) & (common > 0)).select("ib").distinct()
+
+
+def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None = None) -> DataFrame:
+    """All lines that have an equal or similar line before them, as doc_id, line_no."""
     p, q = threshold
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    ranks = bucket_ranks(docs)
-    sets = lines(docs).select("doc_id", "line_no", word_sets(F.col("line"), ranks).alias("w"))
-    parity = F.aggregate("w", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))))
+    table = rarity_table(docs)
+    sets = lines(docs).select("doc_id", "line_no", word_sets(F.col("line"), table).alias("w"))
+    # 128 parity bits in two words, of the words with an even and an odd seventh bit
+    shifted = lambda bit, v: F.call_function("shiftleft", bit, v.bitwiseAND(F.lit(63)).cast("int"))
+    seventh = lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(1))
+    zero, one = (F.lit(x).cast("long") for x in (0, 1))
+    even = F.aggregate("w", zero, lambda acc, v: acc.bitwiseXOR(shifted(one - seventh(v), v)))
+    odd = F.aggregate("w", zero, lambda acc, v: acc.bitwiseXOR(shifted(seventh(v), v)))
     sized = sets.withColumn("n", F.size("w"))
-    every = scratch.save(sized.select("doc_id", "line_no", "n", F.xxhash64(F.lit(1), "w").alias("k1"), F.xxhash64(F.lit(2), "w").alias("k2"), parity.alias("bits"), F.expr(f"slice(w, 1, {_needed('n', threshold)})").alias("prefix")))
+    every = scratch.save(sized.select("doc_id", "line_no", "n", F.xxhash64(F.lit(1), "w").alias("k1"), F.xxhash64(F.lit(2), "w").alias("k2"), even.alias("bits"), odd.alias("odd"), F.expr(f"slice(w, 1, {_needed('n', threshold)})").alias("prefix")))
     named = every.where("n > 0 and doc_id is not null")
-    # equal sets: the first line stands for all
-    multi = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("m"), F.count("*").alias("c")).where("c > 1")
-    multi = scratch.save(multi.select("k1", "k2", F.col("m.doc_id").alias("d0"), F.col("m.line_no").alias("l0")))
-    marked = named.join(multi, ["k1", "k2"], "left")
-    equal = marked.where("doc_id <> d0 or line_no <> l0").select("doc_id", "line_no")
-    first = marked.where("d0 is null or (doc_id = d0 and line_no = l0)")
-    rows = first.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("n").cast("int").alias("n"), "bits", F.posexplode("prefix").alias("i", "w"))
-    a, b = rows.alias("a"), rows.alias("b")
-    before = "(a.d < b.d or (a.d = b.d and a.l < b.l))"
-    size = f"least(a.n, b.n) * {q} >= greatest(a.n, b.n) * {p}"
-    place = f"(least(a.n - a.i, b.n - b.i)) * {p + q} >= (a.n + b.n) * {p}"
-    # the symmetric difference of sets at the threshold is at most (q - p) / (q + p) of the sum of sizes
-    apart = f"bit_count(a.bits ^ b.bits) * {p + q} <= (a.n + b.n) * {q - p}"
-    pairs = a.join(b, F.expr(f"a.w = b.w and {before} and {size} and {place} and {apart}"))
-    pairs = scratch.save(pairs.select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl")).distinct())
-    wanted = pairs.select(F.col("ad").alias("d"), F.col("al").alias("l")).unionByName(pairs.select(F.col("bd").alias("d"), F.col("bl").alias("l")))
-    by_doc = wanted.groupBy("d").agg(F.collect_set("l").alias("ls"))
-    again = docs.join(by_doc, F.col("doc_id") == F.col("d")).select("d", F.explode("ls").alias("l"), F.split("text", "\n").alias("t"))
-    full = scratch.save(again.select("d", "l", word_sets(F.get("t", F.col("l")), ranks).alias("w")))
-    x = full.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("w").alias("x"))
-    y = full.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("w").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(x, ["ad", "al"]).join(y, ["bd", "bl"]).where((common * q >= p * (F.size("x") + F.size("y") - common)) & (common > 0))
-    near = both.select(F.col("bd").alias("doc_id"), F.col("bl").alias("line_no"))
+    # equal sets: the first line stands for all; ids follow the order of lines
+    id_, order = _line_ids(every)
+    first = named.withColumn("id", id_).groupBy("k1", "k2").agg(F.min(F.struct(*dict.fromkeys((order, "doc_id", "line_no", "n", "bits", "odd", "prefix")))).alias("m")).select("m.*")
+    if order != "id":
+        first = first.orderBy("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id())
+    first = scratch.save(first)
+    equal = scratch.save(named.select("doc_id", "line_no").join(first.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
+    scratch.drop(every)
+    scratch.settle()
+    exploded = lambda df: df.select("id", "n", "bits", "odd", F.posexplode("prefix").alias("i", "w")).select("w", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("z"), "bits", "odd")
+    share = lambda df, k: exploded(df).where(F.pmod("w", F.lit(PASSES)) == k)
+    # each line against the first line of each of its prefix words; words are dealt to passes to bound the disk in use
+    head = F.first(F.struct("id", "z", "bits", "odd")).over(Window.partitionBy("w").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    close = F.expr(f"h.id < id and {_allowed('h.z', 'z', 'h.', '', p, q)}")
+    parts = []
+    for k in range(PASSES):
+        led = share(first, k).withColumn("h", head).where(close)
+        parts.append(scratch.save(led.select(F.col("h.id").alias("ia"), F.col("id").alias("ib")).distinct()))
+        scratch.settle()
+    pairs = scratch.save(reduce(DataFrame.unionByName, parts).distinct())
+    done = scratch.save(_verified(docs, first, pairs, table, threshold, scratch))
+    # lines that these leave open meet all lines before them
+    left = scratch.save(first.join(done, F.col("id") == F.col("ib"), "left_anti"))
+    parts = []
+    for k in range(PASSES):
+        a, b = share(first, k).alias("a"), share(left, k).alias("b")
+        more = a.join(b, F.expr(f"a.w = b.w and a.id < b.id and {_allowed('a.z', 'b.z', 'a.', 'b.', p, q)}"))
+        parts.append(scratch.save(more.select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()))
+        scratch.settle()
+    scratch.drop(left)
+    more = reduce(DataFrame.unionByName, parts).distinct()
+    found = scratch.save(done.unionByName(_verified(docs, first, more.join(pairs, ["ia", "ib"], "left_anti"), table, threshold, scratch)))
+    near = first.join(found, F.col("id") == F.col("ib"), "left_semi").select("doc_id", "line_no")
     # what is similar to the first of equal lines removes that one; its copies are removed already
-    return equal.unionByName(near).distinct(), every.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return equal.unionByName(near).distinct()
 
 
 def deduplicate_lines(docs: DataFrame, threshold=JACCARD) -> DataFrame:
@@ -104,9 +168,9 @@ def deduplicate_lines(docs: DataFrame, threshold=JACCARD) -> DataFrame:
     an empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    removed, _ = similar_lines(docs, threshold, scratch)
+    removed = similar_lines(docs, threshold, scratch)
     by_doc = removed.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "d")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = base.join(by_doc, F.col("doc_id") == F.col("d"), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
