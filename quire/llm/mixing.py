@@ -110,6 +110,6 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     A document stands round(taken / size) times: only the one document at a shard's last block is rounded. Rows with the
     same doc_id share their common quotient. Documents without words, or whose words the mix leaves, go.
     """
-    share = mix(docs, **how).groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    share = mix(docs, **how).groupBy("doc_id").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
     out = docs.join(share, F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, threshold=JACCA
         links = scratch.save(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(more, texts, width, threshold)))
         found = components(links, scratch)
     rep = classes.where("n > 1").drop("n")
-    out = sigs.drop("sig").join(rep, ["n_shingles", "d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    out = sigs.drop("sig").join(rep, ["n_shingles", "d1", "d2"], "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(found, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
