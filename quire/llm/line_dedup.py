@@ -23,7 +23,7 @@ from quire.llm.common import JACCARD, Scratch
 BUCKET_BITS = 18
 _KEPT = 56
 #: Passes over the prefix words: each moves this share of them, and their shuffle files go before the next.
-PASSES = 4
+PASSES = 6
 _BLANK = r"[\x20\x09-\x0D]"
 _ODD_BLANK = r"[\x09\x0B-\x0D]"
 
