@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans.shared import shared_dir
+
 #: Bytes of text that one numpy step works on at a time (a longer single text is one step).
 PIECE_BYTES = 1 << 20
 
@@ -25,19 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- tables in the folder that all executors share -------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent and Spark is local."""
-    got = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if got:
-        return got
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    cached = getattr(shared_dir, "_local", None)
-    if cached is None:
-        cached = shared_dir._local = tempfile.mkdtemp(prefix="quire-")
-    return cached
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor rereads them."""
 

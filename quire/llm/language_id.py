@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text is a vector of hashed byte n-grams (1 to 3 bytes, letters only, lower case), weighted by (1 + ln count) times
+A text is a vector of hashed byte n-grams (1 to 3 bytes, letters only, lower case), weighted by ln(1 + count) times
 inverse document frequency and normalised. Every language has several centroids, found by spherical k-means over a
 bounded, hash-chosen sample of its labelled rows. A text gets the language of the centroid with the largest cosine; it
 is rejected when that cosine is below the centroid's own limit, which comes from the sample's distances.
@@ -35,7 +35,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def vectors(data: np.ndarray, off: np.ndarray, dims: int = DIMENSIONS) -> np.ndarray:
-    """One row of 1 + ln(count) per text over its hashed n-grams; counts of n-grams that are only blanks are left out."""
+    """One row of ln(1 + count) per text over its hashed n-grams; counts of n-grams that are only blanks are left out."""
     rows = len(off) - 1
     out = np.zeros(rows * dims, np.float32)
     b = _FOLD[data].astype(np.uint32)
@@ -72,14 +72,12 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means; starts from the mean and then the rows farthest from all earlier centres. Ends with no empty cluster."""
-    centres = normalised(x.mean(axis=0, keepdims=True))
-    while len(centres) < min(k, len(x)):
-        far = (x @ centres.T).max(axis=1).argmin()
-        centres = np.vstack([centres, x[far]])
+    """Spherical k-means; starts from rows at even ranks of similarity to the mean. Clusters under one row in twenty dissolve."""
+    rank = np.argsort(x @ normalised(x.mean(axis=0, keepdims=True))[0], kind="stable")
+    centres = x[rank[(np.arange(k) * 2 + 1) * len(x) // (2 * k)]]
     for _ in range(rounds):
         which = (x @ centres.T).argmax(axis=1)
-        kept = np.unique(which)
+        kept = [c for c in range(len(centres)) if (which == c).sum() >= max(1, len(x) // 20)]
         centres = normalised(np.vstack([x[which == c].mean(axis=0) for c in kept]))
     which = (x @ centres.T).argmax(axis=1)
     kept = np.unique(which)
