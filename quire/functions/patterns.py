@@ -5,6 +5,7 @@ ENDNOTE_HEAD = r"(?iuU)^\s*(notes|endnotes|notes to chapter\s*\d*)\s*$"
 FOLIO = r"(?U)^[\dIVXLCivxlc\s.\-–—\[\]]+$"
 TOP_BAND, BOTTOM_BAND, MIN_REPEATS, MAX_PEELED = 0.14, 0.86, 3, 3
 
+NOTE_SYMBOLS = ("*", "†", "‡", "§", "¶")
 NOTE_LABEL = r"(?Us)^\s*(\d{1,3}(?!\d)|[*†‡§¶])[.)]?\s*(.+)$"
 MARKER_TEXT = r"(?U)^[*†‡§¶]?\d{0,3}[*†‡§¶]?$"
 EMBEDDED_MARKER = r"(?U)(?<=\p{L})(\d{1,3})(?=[\s.,;:)\]\"'”’]|$)"

@@ -70,8 +70,9 @@ def markers(spans="spans", y1="y1") -> Column:
         after = F.filter(F.slice(all_, i + 2, F.size(all_)), filled)
         before = F.array_join(F.transform(F.slice(all_, 1, F.greatest(i, F.lit(0))), lambda x: x["text"]), "")
         fraction = F.coalesce(F.regexp_like(F.get(after, F.lit(0))["text"], F.lit(r"(?U)^\s*[⁄/]")), F.lit(False)) | F.regexp_like(before, F.lit(r"(?U)\d\s*$"))
-        shape = (F.length(t).between(1, 4)) & F.regexp_like(t, F.lit(P.MARKER_TEXT))
-        return F.struct(i.alias("i"), t.alias("label"), (shape & (is_superscript(s) | is_raised(s, line)) & ~fraction).alias("ok"))
+        number = F.regexp_like(t, F.lit(P.MARKER_TEXT)) & F.regexp_like(t, F.lit(r"(?U)\d"))
+        shape = t.isin(*P.NOTE_SYMBOLS) | (number & ~fraction)
+        return F.struct(i.alias("i"), t.alias("label"), (shape & (is_superscript(s) | is_raised(s, line))).alias("ok"))
 
     kept = F.filter(F.transform(all_, one), lambda m: m["ok"])
     return F.transform(kept, lambda m: F.struct(m["i"].alias("i"), m["label"].alias("label")))

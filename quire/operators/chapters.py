@@ -21,7 +21,7 @@ def _like(c: Column, pattern: str) -> Column:
 
 
 def split_by_headings(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Elements with ch (from 0), and chapters book_id, ch, title, start_page: a chapter begins at each heading of the book's least level."""
+    """Elements with ch (from 0), and chapters book_id, ch, title, start_page, end_page (the next one's start): a chapter begins at each heading of the book's least level."""
     rows = elements.withColumn("text", strip(runs_text()))
     heads = rows.where("kind = 'heading'").groupBy("book_id").agg(F.min("level").alias("split"))
     first = rows.groupBy("book_id").agg(F.min(F.struct(*_ORDER)).alias("first"))
@@ -32,7 +32,8 @@ def split_by_headings(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = running_sum(rows, starts.cast("int"), "ch")
     chapters = rows.groupBy(*_CH).agg(F.min_by(F.when(F.col("is_split"), F.col("text")), F.struct(*_ORDER)).alias("t"), F.min("page_no").alias("start_page"))
     title = F.when(F.coalesce("t", F.lit("")) != "", F.col("t")).when(F.col("ch") == 0, FRONT).otherwise(F.concat(F.lit("Chapter "), (F.col("ch") + 1).cast("string")))
-    return rows.drop("split", "first", "is_split", "text"), chapters.select(*_CH, title.alias("title"), "start_page")
+    end = F.lead("start_page").over(Window.partitionBy("book_id").orderBy("ch"))
+    return rows.drop("split", "first", "is_split", "text"), chapters.select(*_CH, title.alias("title"), "start_page", end.alias("end_page"))
 
 
 def outline(toc: DataFrame) -> DataFrame:
@@ -59,25 +60,29 @@ def split_by_outline(elements: DataFrame, toc: DataFrame) -> tuple[DataFrame, Da
     ranges = ranges.unionByName(front).withColumnRenamed("book_id", "b")
     within = (F.col("book_id") == F.col("b")) & (F.col("page_no") >= F.col("start_page")) & (F.col("end_page").isNull() | (F.col("page_no") < F.col("end_page")))
     rows = elements.join(ranges, within)
-    used = rows.groupBy("book_id", "i").agg(F.min("title").alias("title"), F.min("start_page").alias("start_page"))
+    used = rows.groupBy("book_id", "i").agg(F.min("title").alias("title"), F.min("start_page").alias("start_page"), F.min("end_page").alias("end_page"))
     used = used.withColumn("ch", (F.row_number().over(Window.partitionBy("book_id").orderBy("i")) - 1).cast("long"))
     rows = rows.drop("b", "start_page", "end_page", "title").join(used.select("book_id", "i", "ch"), ["book_id", "i"]).drop("i")
-    return rows, used.select(*_CH, "title", F.greatest("start_page", F.lit(0).cast("long")).alias("start_page"))
+    return rows, used.select(*_CH, "title", F.greatest("start_page", F.lit(0).cast("long")).alias("start_page"), "end_page")
 
 
 def attach_notes(notes: DataFrame, chapters: DataFrame) -> DataFrame:
-    """notes with ch: the chapter whose page range (up to the next one's start) holds the note's page."""
-    order = Window.partitionBy("book_id").orderBy("ch")
-    ranges = chapters.select(F.col("book_id").alias("b"), "ch", F.col("start_page").alias("from"), F.lead("start_page").over(order).alias("to"))
+    """notes with ch: the chapter whose page range (up to end_page, open on the last) holds the note's page."""
+    ranges = chapters.select(F.col("book_id").alias("b"), "ch", F.col("start_page").alias("from"), F.col("end_page").alias("to"))
     within = (F.col("book_id") == F.col("b")) & (F.col("page_no") >= F.col("from")) & (F.col("to").isNull() | (F.col("page_no") < F.col("to")))
     return notes.join(ranges, within).drop("b", "from", "to")
 
 
 def drop_print_nav(chapters: DataFrame) -> DataFrame:
-    """Chapters without printed contents lists; a book that has no other chapter keeps them."""
+    """Chapters without printed contents lists, with new_ch: their numbers without gaps. A book that has no other chapter keeps them."""
     nav = _like(strip(F.col("title")), P.PRINT_NAV)
     some = F.max((~nav).cast("int")).over(Window.partitionBy("book_id"))
-    return chapters.withColumn("_some", some).where(~nav | (F.col("_some") == 0)).drop("_some")
+    return chapters.withColumn("_some", some).where(~nav | (F.col("_some") == 0)).drop("_some").withColumn("new_ch", (F.row_number().over(Window.partitionBy("book_id").orderBy("ch")) - 1).cast("long"))
+
+
+def renumbered(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Rows of the chapters that drop_print_nav left, under their new numbers."""
+    return rows.join(chapters.select("book_id", "ch", "new_ch"), ["book_id", "ch"]).withColumn("ch", F.col("new_ch")).select(*rows.columns)
 
 
 def drop_front_lists(elements: DataFrame) -> DataFrame:

@@ -88,11 +88,12 @@ def convert(lines: DataFrame, options: Options = Options(), images: DataFrame |
     if options.preserve_page_breaks:
         rows = page_breaks(rows)
     rows, chapters = _split(rows, toc)
-    if not options.keep_print_nav:
-        chapters = C.drop_print_nav(chapters)
-        rows = C.drop_front_lists(rows.join(chapters.select("book_id", "ch"), ["book_id", "ch"], "left_semi"))
     rows, chapters = save(rows), save(chapters)
     notes = save(C.attach_notes(notes, chapters)).select("book_id", "ch", "page_no", "ord", "note_id", "label", "text")
+    if not options.keep_print_nav:
+        left = save(C.drop_print_nav(chapters))
+        rows, notes = C.drop_front_lists(C.renumbered(rows, left)), C.renumbered(notes, left)
+        rows, chapters = save(rows), C.renumbered(chapters, left)
     own = None
     if academic:
         rows, own = C.endnotes(rows)

@@ -373,7 +373,7 @@ chs AS (SELECT book_id, ch, min(page_no) AS start_page, count(*) AS n, arg_min(C
 @query(f"WITH {SPLIT_SQL} SELECT book_id, ch, coalesce(nullif(t, ''), CASE WHEN ch = 0 THEN 'Front Matter' ELSE 'Chapter ' || (ch + 1) END) AS title, start_page, n AS elements FROM chs")
 def chapter_split_headings(spark, sf):
     rows, chapters = C.split_by_headings(_page_elements(spark, sf))
-    return chapters.join(rows.groupBy("book_id", "ch").agg(F.count("*").alias("elements")), ["book_id", "ch"])
+    return chapters.drop("end_page").join(rows.groupBy("book_id", "ch").agg(F.count("*").alias("elements")), ["book_id", "ch"])
 
 
 def _toc(spark, sf) -> DataFrame:
@@ -393,7 +393,7 @@ t5 AS (SELECT t4.book_id, greatest(a, 0) AS start_page, title, count(*) AS eleme
 @query(f"WITH {OUTLINE_SQL} SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY a) - 1 AS ch, title, start_page, elements FROM t5")
 def chapter_split_outline(spark, sf):
     rows, chapters = C.split_by_outline(_page_elements(spark, sf), _toc(spark, sf))
-    return chapters.join(rows.groupBy("book_id", "ch").agg(F.count("*").alias("elements")), ["book_id", "ch"])
+    return chapters.drop("end_page").join(rows.groupBy("book_id", "ch").agg(F.count("*").alias("elements")), ["book_id", "ch"])
 
 
 def _page_notes(spark, sf) -> DataFrame:
@@ -671,7 +671,7 @@ def chapter_words(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.select("book_id", "page_no", F.lit(0).alias("cls"), F.col("line_no").alias("ord"), F.when(level.isNotNull(), "heading").otherwise("paragraph").alias("kind"), F.coalesce(level, F.lit(0)).alias("level"), "size", F.lit(None).cast("string").alias("anchor"), W.plain_run(F.col("text")).alias("runs"), F.lit(None).cast("array<array<string>>").alias("table_rows"), F.lit(None).cast("string").alias("image_id"))
     split, chapters = C.split_by_headings(rows)
     words = split.groupBy("book_id", "ch").agg(F.sum(X.n_words(W.runs_text())).alias("words"))
-    return chapters.join(words, ["book_id", "ch"])
+    return chapters.drop("end_page").join(words, ["book_id", "ch"])
 
 
 QUERIES["chapter_words"] = chapter_words

@@ -23,6 +23,7 @@ def test_markers(spark):
     assert found(spark, [span("authority."), span("7", 7, 1, y=105), span(" One might")]) == [(1, "7")]
     assert found(spark, [span("authority."), span("7", 7, y=105), span(" One might")]) == [(1, "7")]
     assert found(spark, [span("from page 46", 9.5)]) == []
+    assert found(spark, [span("word"), span("*", 7, 1, y=105), span("†‡", 7, 1, y=105), span("12*", 7, 1, y=105)]) == [(1, "*"), (3, "12*")]
 
 
 def test_span_flags(spark):

@@ -75,6 +75,15 @@ def test_split_by_headings(spark):
     assert [r.ch for r in rows.orderBy("ord").collect()] == [0, 1, 1, 1]
 
 
+def test_print_nav_is_dropped(spark):
+    _, chapters = C.split_by_headings(elements(spark, [element(k, "heading", t, 1, page=k) for k, t in enumerate(("One", "Contents", "Two"))]))
+    left = C.drop_print_nav(chapters)
+    assert [(r.ch, r.title) for r in C.renumbered(chapters, left).orderBy("ch").collect()] == [(0, "One"), (1, "Two")]
+    notes = spark.createDataFrame([("b", p, 0, f"n{p}-1", "1", "t") for p in range(3)], "book_id string, page_no long, ord int, note_id string, label string, text string")
+    attached = C.renumbered(C.attach_notes(notes, chapters), left)
+    assert sorted((r.ch, r.note_id) for r in attached.collect()) == [(0, "n0-1"), (1, "n2-1")]
+
+
 def test_outline(spark):
     toc = spark.createDataFrame([("b", 0, 1, "One", 2), ("b", 1, 2, "Inner", 2), ("b", 2, 1, "Two", 4), ("c", 0, 1, "1", 1), ("c", 1, 1, "2", 2)], "book_id string, ord int, level int, title string, page long")
     rows, chapters = C.split_by_outline(elements(spark, [element(0, "paragraph", str(p), page=p) for p in range(5)]), toc)
