@@ -33,6 +33,8 @@ WINDOW = LENGTH - GRAM + 1
 #: Anchors that are gathered in one partition on average, and occurrences of a 25-gram above which it is not gathered.
 PARTITION_ANCHORS = 40_000
 HOT_ANCHORS = 100_000
+#: Spark's limit for the buckets of a table, and as many partitions as one exchange should have.
+MOST_PARTITIONS = 100_000
 #: Bytes of one text that are winnowed at a time; longer texts are worked through in overlapping stretches.
 STRETCH = 1 << 20
 
@@ -187,31 +189,43 @@ def _repeats(contexts: DataFrame, partitions: int) -> DataFrame:
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        doc, start, span = (table.column(i).to_numpy() for i in (1, 2, 3))
+        # a large partition is worked through bucket by bucket, about PARTITION_ANCHORS at a time
         h = table.column(0).to_numpy()
-        column = table.column(4).combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        data, off = text_bytes(column)
-        # equal contexts of a bucket: all but the earliest are repeats as a whole, and only that one is refined
-        p = prefix_hash(data, False)
-        whole = mix64((p[off[1:]] - p[off[:-1]]) * powers(len(data) + 1)[0][off[:-1]] ^ mix64(h.view(np.uint64) + span.astype(np.uint64)))
-        order = np.lexsort((start, doc, whole))
-        ranked = whole[order]
-        first = np.ones(len(order), bool)
-        first[1:] = ranked[1:] != ranked[:-1]
-        copies, keep = order[~first], np.sort(order[first])
-        out = [(doc[copies], start[copies].astype(np.int64), start[copies].astype(np.int64) + span[copies] + (LENGTH - 1))]
-        size = np.diff(off)
-        lengths = size[keep]
-        new = np.concatenate(([0], np.cumsum(lengths)))
-        pos = np.arange(new[-1]) - np.repeat(new[:-1], lengths) + np.repeat(off[:-1][keep], lengths)
-        out.append(refine(data[pos], new, span[keep].astype(np.int64), doc[keep], start[keep].astype(np.int64)))
-        for d, a, b in out:
-            yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "a", "b"])
+        order = np.argsort(h, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        wanted = np.searchsorted(edges, np.arange(0, len(h), PARTITION_ANCHORS))
+        cuts = np.unique(edges[wanted[wanted < len(edges)]])
+        for i, j in zip(cuts, [*cuts[1:], len(h)], strict=True):
+            yield _repeats_of(table if len(cuts) == 1 else table.take(pa.array(order[i:j])))
 
     return contexts.repartition(partitions, "h").mapInArrow(run, "doc_id long, a int, b int")
 
 
+def _repeats_of(table: pa.Table) -> pa.RecordBatch:
+    """The bytes to remove that the buckets in this table show."""
+    doc, start, span = (table.column(i).to_numpy() for i in (1, 2, 3))
+    h = table.column(0).to_numpy()
+    column = table.column(4).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    data, off = text_bytes(column)
+    # equal contexts of a bucket: all but the earliest are repeats as a whole, and only that one is refined
+    p = prefix_hash(data, False)
+    whole = mix64((p[off[1:]] - p[off[:-1]]) * powers(len(data) + 1)[0][off[:-1]] ^ mix64(h.view(np.uint64) + span.astype(np.uint64)))
+    order = np.lexsort((start, doc, whole))
+    ranked = whole[order]
+    first = np.ones(len(order), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    copies, keep = order[~first], np.sort(order[first])
+    size = np.diff(off)[keep]
+    new = np.concatenate(([0], np.cumsum(size)))
+    pos = np.arange(new[-1]) - np.repeat(new[:-1], size) + np.repeat(off[:-1][keep], size)
+    d, a, b = refine(data[pos], new, span[keep].astype(np.int64), doc[keep], start[keep].astype(np.int64))
+    d = np.concatenate((doc[copies], d)).astype(np.int64)
+    a = np.concatenate((start[copies], a)).astype(np.int32)
+    b = np.concatenate((start[copies].astype(np.int64) + span[copies] + (LENGTH - 1), b)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc_id", "a", "b"])
+
+
 def _hot_repeats(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, a, b for 25-grams that are too frequent to gather: one row for each string, aggregated by its identifiers."""
 
@@ -277,7 +291,7 @@ def repeated_strings(docs: DataFrame, hot: int = HOT_ANCHORS) -> DataFrame:
     classes = scratch.save(classes)
     judged = scratch.save(classes.where(f"rep is not null and n_bytes >= {LENGTH}").groupBy("rep").agg(F.min("sha").alias("sha")))
     size = judged.join(classes.select("sha", "n_bytes"), "sha").agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
+    buckets = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20))))
     name = f"quire_texts_{uuid.uuid4().hex}"
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(judged, F.col("doc_id") == F.col("rep")).where(F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).select("doc_id", "text").dropDuplicates(["doc_id"])
     whole.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").option("compression", "zstd").saveAsTable(name)
@@ -286,7 +300,7 @@ def repeated_strings(docs: DataFrame, hot: int = HOT_ANCHORS) -> DataFrame:
     often = scratch.save(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     wanted = scratch.save(found.join(often, "h"))
     size = wanted.agg(F.count("*").alias("n"), F.max("n").alias("top")).first()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // PARTITION_ANCHORS))
+    partitions = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // PARTITION_ANCHORS)))
     removed = _repeats(_cut(texts, wanted.where(F.col("n") <= hot)), partitions)
     if (size["top"] or 0) > hot:
         removed = removed.unionByName(_hot_repeats(_cut(texts, wanted.where(F.col("n") > hot)), scratch))

@@ -46,6 +46,29 @@ def test_frequent_grams_go_the_other_way(spark, repeated):
     assert strings(spark, repeated, hot=1) == removed_bytes(repeated)
 
 
+def test_partitions_in_slices(spark, repeated, monkeypatch):
+    import pyarrow as pa
+
+    from quire.llm import suffix_dedup as S
+
+    rows = [(h, d, s, 1, bytes([h]) * 100) for h in range(5) for d in range(7) for s in (0, 3)]
+    table = pa.table({"h": pa.array([r[0] for r in rows], pa.int64()), "doc_id": pa.array([r[1] for r in rows], pa.int64()), "start": pa.array([r[2] for r in rows], pa.int32()), "span": pa.array([r[3] for r in rows], pa.int16()), "context": pa.array([r[4] for r in rows], pa.binary())})
+    got = S._repeats_of(table)
+    assert got.num_rows == 5 * 13 and (0, 0) not in set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    taken = []
+
+    class Frame:
+        def repartition(self, *a):
+            return self
+
+        def mapInArrow(self, f, schema):
+            taken.extend(f(table.to_batches()))
+
+    monkeypatch.setattr(S, "PARTITION_ANCHORS", 20)
+    S._repeats(Frame(), 1)
+    assert len(taken) > 1 and sum(b.num_rows for b in taken) == got.num_rows
+
+
 def test_very_long_text(spark):
     part = prose(60, 9)
     long = prose(STRETCH // 5, 10, 10**6) + part + prose(STRETCH // 5, 11, 10**6) + part
