@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     cached = getattr(shared_dir, "_local", None)
     if cached is None:
         cached = shared_dir._local = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, cached, ignore_errors=True)
     return cached
 
 
