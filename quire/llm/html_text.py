@@ -30,9 +30,14 @@ FURNITURE = frozenset("nav header footer aside form menu dialog fieldset address
 MAIN = frozenset("article main".split())
 #: Words of class, id and role values that name page furniture.
 FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner\w*|breadcrumbs?|byline-share|comments?|commentlist|comment\w*|consent|contentinfo|cookies?\w*|copyright|dialog|disclaimer|disqus\w*|footer\w*|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter\w*|notices?|notification\w*|pager|pagination|paywall|popup|privacy|promo\w*|reader-?comments?|recommend\w*|related\w*|replies|reply|respond|search\w*|share\w*|sharing|side-?bar\w*|signup|skip-?link|social\w*|sponsor\w*|subscribe\w*|subscription|tags|teasers?|toc|toolbar|tracking|widget\w*|complementary|navigation|alert)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|adbox|adslot|banners?|breadcrumbs?|comment\w*|complementary|consent|contentinfo|cookies?\w*|copyright|dialog|disclaimer|disqus\w*|footer\w*|gdpr|header|masthead|menu\w*|modal|"
+    r"nav\w*|newsletter\w*|notices?|notifications?|pager|pagination|paywall|popup|privacy|promo\w*|recommend\w*|related\w*|repl(?:y|ies)|respond|search\w*|share\w*|sharing|sidebar\w*|signup|skip|social\w*|"
+    r"sponsor\w*|subscri\w*|tags|teasers?|toc|toolbar|tracking|widget\w*|alert)\Z",
     re.I,
 )
+#: Parts of a value that say what a page has or lacks, not what the element is, and parts that make a header the text's own.
+_ABOUT = re.compile(r"(?:has|no|with|without|is|js)\Z", re.I)
+_OWN_HEADER = re.compile(r"(?:article|entry|post|story|content|title|headline)\Z", re.I)
 #: p, li and the like end where a like one begins, whatever stands between in inline elements.
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div main body nav aside header footer form blockquote".split())
@@ -47,19 +52,29 @@ class Block:
         self.text, self.words, self.linked, self.furniture, self.in_main, self.heading = text, len(text.split()), linked, furniture, in_main, heading
 
 
+def _names_furniture(value: str, in_main: int) -> bool:
+    for name in value.replace("sideBar", "sidebar").replace("side-bar", "sidebar").split():
+        parts = re.split(r"[-_]+", name)
+        if any(map(_ABOUT.match, parts)):
+            continue
+        for part in parts:
+            if FURNITURE_WORDS.match(part) and not (part.lower() == "header" and (in_main or any(map(_OWN_HEADER.match, parts)))):
+                return True
+    return False
+
+
 def _furniture(tag: str, attributes: str, in_main: int) -> bool:
-    if tag in FURNITURE and not (tag == "header" and in_main) and not (tag == "address" and in_main):
+    if tag in FURNITURE and not (tag in ("header", "address") and in_main):
         return True
-    if not attributes or tag in ("body", "html") or tag in MAIN:
+    if not attributes or tag in ("body", "html", "main"):
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id", "role", "data-role") and FURNITURE_WORDS.search(a or b or c):
-            # a heading's own header block inside an article is text
-            return not (in_main and (a or b or c).lower() in ("header", "article-header", "entry-header"))
-        if name == "hidden" or (name == "aria-hidden" and "true" in (a, b, c)):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role", "data-role") and _names_furniture(value, in_main):
+            return True
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a or b or c, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 

@@ -53,6 +53,13 @@ def test_html():
     assert main_text(PAGE) == "Big & title\n\nFirst para here boldword <x>.\n\nSecond line link and more words follow here.\n\none point\n\ntwo points\n\nQuote here"
 
 
+def test_furniture_by_name():
+    page = """<body class=has-sidebar><div class="layout with-sidebar"><article class=post><div class="entry-header"><h1>Title</h1></div><p>Some text of the article stands here.</p>
+    <div class="share-buttons">Share this</div></article><section><article class="comment odd"><p>I like this very much, thank you all.</p></article></section><div id="main-sidebar">Side words here</div>
+    <div style="display: none">Hidden words</div><p aria-hidden="true">Not read</p><div role=complementary>More words</div></div></body>"""
+    assert main_text(page) == "Title\n\nSome text of the article stands here."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p>", "<p>x</b></p></p>", "<!-- open", "<script>never closed", "<a href='x>y", "&amp &#x41; &unknown;", "<p><b>a<br><p>b" * 50])
 def test_odd_html(page):
     assert isinstance(main_text(page), str)
