@@ -21,6 +21,7 @@ from quire.operators import roles as O
 from quire.operators import scan as B
 from quire.operators import stats as T
 from quire.plans.convert import convert
+from quire.plans.shared import Stages
 from quire.sinks import audit as U
 from quire.sinks import html as H
 from quire.sources.adapters import document_lines, page_lines, table
@@ -277,7 +278,8 @@ def _page_elements(spark, sf) -> DataFrame:
     lines = pages(spark, sf)
     bold = F.exists("spans", lambda s: s["flags"].bitwiseAND(S.BOLD) != 0)
     level = F.when(F.col("size") == 22, 1).when(bold & (F.col("size") == 11) & (F.length("text") < 200), 2).otherwise(0)
-    return lines.select("book_id", "page_no", F.lit(0).alias("cls"), F.col("line_no").alias("ord"), F.when(level > 0, "heading").otherwise("paragraph").alias("kind"), level.alias("level"), "size", F.lit(None).cast("string").alias("anchor"), W.plain_run(F.col("text")).alias("runs"), F.lit(None).cast("array<array<string>>").alias("table_rows"), F.lit(None).cast("string").alias("image_id"))
+    # read several times below, so the pages are taken apart once
+    return Stages(spark, "pages").save(lines.select("book_id", "page_no", F.lit(0).alias("cls"), F.col("line_no").alias("ord"), F.when(level > 0, "heading").otherwise("paragraph").alias("kind"), level.alias("level"), "size", F.lit(None).cast("string").alias("anchor"), W.plain_run(F.col("text")).alias("runs"), F.lit(None).cast("array<array<string>>").alias("table_rows"), F.lit(None).cast("string").alias("image_id")))
 
 
 EL = f"""{PL}, el AS (SELECT book_id, page_no, line_no AS ord, size, text, CASE WHEN size = 22 THEN 1 WHEN bold AND size = 11 AND length(text) < 200 THEN 2 ELSE 0 END AS level FROM pl)"""
@@ -669,7 +671,7 @@ def chapter_words(spark: SparkSession, sf: str) -> DataFrame:
     e = lines.join(T.body_size(lines), "book_id").withColumn("bold", F.lit(False))
     level = F.when(F.col("size") / F.col("body_size") >= 1.18, G.heading_level()).cast("int")
     rows = e.select("book_id", "page_no", F.lit(0).alias("cls"), F.col("line_no").alias("ord"), F.when(level.isNotNull(), "heading").otherwise("paragraph").alias("kind"), F.coalesce(level, F.lit(0)).alias("level"), "size", F.lit(None).cast("string").alias("anchor"), W.plain_run(F.col("text")).alias("runs"), F.lit(None).cast("array<array<string>>").alias("table_rows"), F.lit(None).cast("string").alias("image_id"))
-    split, chapters = C.split_by_headings(rows)
+    split, chapters = C.split_by_headings(Stages(spark, "chapters").save(rows))
     words = split.groupBy("book_id", "ch").agg(F.sum(X.n_words(W.runs_text())).alias("words"))
     return chapters.drop("end_page").join(words, ["book_id", "ch"])
 
