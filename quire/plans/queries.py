@@ -603,6 +603,13 @@ def nearest_line_join(spark, sf):
     return R.words_to_lines(words, lines).select("page_no", "word_no", "line_no")
 
 
+@query()
+def nearest_line_join_whole(spark, sf):
+    """All words of every line of all documents, each with its nearest line."""
+    lines = docs(spark, sf)
+    return R.words_to_lines(_words(lines, F.col("text")), lines).select("page_no", "word_no", "line_no")
+
+
 @query()
 def token_repair(spark, sf):
     """Lines misread in a fixed way, repaired from a second reading with a lexicon of the benchmark's words."""
