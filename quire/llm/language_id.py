@@ -3,11 +3,14 @@
 A text is a vector of hashed byte n-grams (1 to 3 bytes, letters only, lower case), weighted by ln(1 + count) times
 inverse document frequency and normalised. Every language has several centroids, found by spherical k-means over a
 bounded, hash-chosen sample of its labelled rows. A text gets the language of the centroid with the largest cosine; it
-is rejected when that cosine is below the centroid's own limit, which comes from the sample's distances.
+is rejected when that cosine is below the limit of its language and length, which comes from the sample's distances:
+short texts lie further from every centroid, so whole texts and pieces of the sample give a limit for each length.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +26,14 @@ CENTROIDS = 3
 #: At most about this many labelled rows of each language are fitted on (the documented bound of the sample).
 SAMPLE_ROWS = 600
 ROUNDS = 10
-#: A text is rejected below this share of the centroid's lowest ordinary similarity (its 1st percentile in the sample).
-REJECT_SHARE = 0.25
+#: A text is rejected below this quantile of the similarities in the sample, of its language and length class.
+REJECT_QUANTILE = 0.01
+#: Length classes: powers of two of the bytes that are letters; the last takes all longer texts.
+CLASSES = 13
 UNKNOWN = "und"
 
 _U32 = np.uint32
+_BLANK = re.compile(rb"\s")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -84,9 +90,28 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np
     return centres[kept], np.searchsorted(kept, which)
 
 
+def length_classes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(_FOLD[data] != 32)))
+    n = np.maximum(total[off[1:]] - total[off[:-1]], 1)
+    return np.minimum(np.frexp(n)[1] - 1, CLASSES - 1)
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text, and one piece of whole words for each length class below its own, from a place chosen by a hash."""
+    yield text
+    for k in range(CLASSES - 1):
+        size = (3 << k) // 2
+        if size >= len(text):
+            return
+        start = _BLANK.search(text, zlib.crc32(text, k) % (len(text) - size))
+        end = _BLANK.search(text, start.end() + size) if start else None
+        if end:
+            yield text[start.end() : end.start()]
+
+
 @dataclass
 class Model:
-    """idf by dimension; centroids with their language and rejection limit."""
+    """idf by dimension; centroids with their language and rejection limits by length class."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -94,29 +119,43 @@ class Model:
     limits: np.ndarray
 
 
-def fit(x: np.ndarray, langs: list[str], centroids: int = CENTROIDS, reject_share: float = REJECT_SHARE) -> Model:
+def fit(x: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
+    """A model that rejects nothing yet."""
     if not len(x):
-        return Model(np.ones(x.shape[1], np.float32), np.empty((0, x.shape[1]), np.float32), [], np.empty(0))
+        return Model(np.ones(x.shape[1], np.float32), np.empty((0, x.shape[1]), np.float32), [], np.zeros((0, CLASSES)))
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = normalised(x * idf)
     names = np.array(langs, dtype=object)
-    centres, owners, limits = [], [], []
+    centres, owners = [], []
     for lang in sorted(set(langs)):
-        own = x[names == lang]
-        c, which = cluster(own, centroids)
-        similar = (own * c[which]).sum(axis=1)
-        for i in range(len(c)):
-            centres.append(c[i])
-            owners.append(lang)
-            limits.append(reject_share * float(np.quantile(similar[which == i], 0.01)))
-    return Model(idf, np.vstack(centres).astype(np.float32), owners, np.array(limits))
+        c, _ = cluster(x[names == lang], centroids)
+        centres.extend(c)
+        owners += [lang] * len(c)
+    return Model(idf, np.vstack(centres).astype(np.float32), owners, np.zeros((len(owners), CLASSES)))
+
+
+def limits(langs: list[str], found: list[tuple[str, int, float]], quantile: float = REJECT_QUANTILE) -> np.ndarray:
+    """A row of limits by length class for each of langs. found: language, length class and similarity of texts and pieces.
+
+    A class without texts has the limit of the next shorter one that has some, and 0 if there is none.
+    """
+    by: dict[tuple[str, int], list[float]] = {}
+    for lang, k, similar in found:
+        by.setdefault((lang, k), []).append(similar)
+    out = np.zeros((len(langs), CLASSES))
+    for i, lang in enumerate(langs):
+        for k in range(CLASSES):
+            own = by.get((lang, k))
+            out[i, k] = np.quantile(own, quantile) if own else out[i, k - 1] if k else 0
+    return out
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dims: int = DIMENSIONS) -> Model:
     """Fit on the rows given, which carry doc_id, text and lang; null languages and texts are left out.
 
     The sample is chosen by a hash of doc_id whose range follows each language's row count, so it is the same in every
-    run and its size stays near sample_rows a language at every input size. Only the sample's vectors reach the driver.
+    run and its size stays near sample_rows a language at every input size. Only the sample's vectors, and the
+    similarities of its texts and pieces, reach the driver.
     """
     labelled = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -134,7 +173,26 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dims: int = DIMENSION
 
     rows = sorted(sample.mapInArrow(run, "doc_id string, lang string, v binary").collect(), key=lambda r: (r["lang"], r["doc_id"] or "", bytes(r["v"])))
     x = np.vstack([np.frombuffer(r["v"], np.float16) for r in rows]).astype(np.float32) if rows else np.empty((0, dims), np.float32)
-    return fit(x, [r["lang"] for r in rows])
+    model = fit(x, [r["lang"] for r in rows])
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = spread.value
+        own = {lang: np.array([name == lang for name in m.langs]) for lang in m.langs}
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                parts = list(pieces(text.as_py().encode()))
+                off = np.concatenate(([0], np.cumsum([len(b) for b in parts])))
+                data = np.frombuffer(b"".join(parts), np.uint8)
+                letters = has_letter(data, off)
+                cos = normalised(vectors(data, off, dims) * m.idf) @ m.centroids[own[lang]].T
+                k, similar = length_classes(data, off)[letters], cos.max(axis=1)[letters].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(similar)], ["lang", "k", "similar"])
+
+    if model.langs:
+        found = sample.select("text", "lang").mapInArrow(measure, "lang string, k int, similar double").collect()
+        model.limits = limits(model.langs, [(r["lang"], r["k"], r["similar"]) for r in found])
+    return model
 
 
 def predict(docs: DataFrame, model: Model, dims: int = DIMENSIONS) -> DataFrame:
@@ -159,7 +217,7 @@ def predict(docs: DataFrame, model: Model, dims: int = DIMENSIONS) -> DataFrame:
                     cos = normalised(vectors(data, off, dims) * m.idf) @ m.centroids.T
                     best = cos.argmax(axis=1)
                     score = np.clip(cos[np.arange(n), best].astype(np.float64), 0, 1)
-                    low = score < m.limits[best]
+                    low = score < m.limits[best, length_classes(data, off)]
                 known = letters & bool(m.langs)
                 lang = [m.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(low | ~known)], [*names, "lang_pred", "score", "rejected"])

@@ -269,3 +269,26 @@ def test_languages_of_odd_tables(spark):
     got = identify(docs(spark, {1: "some words"}, lang=None)).first()
     assert (got.lang_pred, got.score, got.rejected) == ("und", 0.0, True)
     assert not math.isnan(identify(docs(spark, {k: "same text" for k in range(30)})).first().score)
+
+
+def test_junk_and_unlearned_languages_are_rejected_by_distance(spark):
+    import random
+    import string
+
+    from tests.conftest import DATA
+
+    r = random.Random(5)
+    junk = ["".join(r.choice(letters) for _ in range(n)) for letters in (string.ascii_lowercase, "0123456789abcdef", string.ascii_letters + string.digits + "+/") for n in (300, 1000, 4000) for _ in range(5)]
+    junk += [" ".join("".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(2, 9))) for _ in range(200)) for _ in range(5)]
+    junk += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    ]
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    clean = [(x.text, x.lang) for x in d.where("lang is not null and length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    short = [(" ".join(t.split()[at : at + n]), lang) for t, lang in clean for at, n in ((3, 4), (10, 12), (20, 30))]
+    extra = [(10**6 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)] + [(2 * 10**6 + i, t, None, "short", len(t)) for i, (t, _) in enumerate(short)]
+    got = identify(d.unionByName(spark.createDataFrame(extra, d.schema))).collect()
+    assert all(x.rejected for x in got if x.source == "junk")
+    assert sum(x.rejected for x in got if x.source == "short") <= 0.1 * len(short)
+    assert sum(x.rejected for x in got if x.doc_id < 10**6) <= 0.1 * d.count()
