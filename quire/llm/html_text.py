@@ -28,6 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("head script style noscript template iframe object svg math select option textarea button datalist audio video canvas map title xmp noframes applet".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog fieldset address".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role values that name page furniture.
 FURNITURE_WORDS = re.compile(
     r"(?:ads?|advert\w*|adbox|adslot|banners?|breadcrumbs?|comment\w*|complementary|consent|contentinfo|cookies?\w*|copyright|dialog|disclaimer|disqus\w*|footer\w*|gdpr|header|masthead|menu\w*|modal|"
@@ -46,10 +47,11 @@ FEATURES = ("words", "density", "words_before", "density_before", "words_after",
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "furniture", "in_main", "heading")
+    __slots__ = ("text", "words", "linked", "furniture", "in_main", "heading", "loose")
 
-    def __init__(self, text: str, linked: int, furniture: int, in_main: int, heading: bool):
+    def __init__(self, text: str, linked: int, furniture: int, in_main: int, heading: int, loose: tuple[int, ...] = ()):
         self.text, self.words, self.linked, self.furniture, self.in_main, self.heading = text, len(text.split()), linked, furniture, in_main, heading
+        self.loose = loose  # numbers of the enclosing elements that are furniture only if they do not hold the page's text
 
 
 def _names_furniture(value: str, in_main: int) -> bool:
@@ -63,20 +65,53 @@ def _names_furniture(value: str, in_main: int) -> bool:
     return False
 
 
-def _furniture(tag: str, attributes: str, in_main: int) -> bool:
+FIRM, LOOSE = 1, 2
+
+
+def _furniture(tag: str, attributes: str, in_main: int) -> int:
+    """0, FIRM, or LOOSE for a form or a name, which can also be that of an element around the whole text."""
+    kind = 0
     if tag in FURNITURE and not (tag in ("header", "address") and in_main):
-        return True
+        if tag != "form":
+            return FIRM
+        kind = LOOSE
     if not attributes or tag in ("body", "html", "main"):
-        return False
+        return kind
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "data-role") and _names_furniture(value, in_main):
-            return True
+            kind = LOOSE
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return FIRM
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return FIRM
+    return kind
+
+
+#: A block of more unlinked words than this, outside all furniture, is text that a page has beside a loose element.
+TEXT_WORDS = 20
+
+
+def _settle(found: list[Block]) -> None:
+    """Count loose elements as furniture, but for those around the page's text.
+
+    Such an element holds most of the page's words, and its title (h1) or all of its longer text.
+    """
+    held: dict[int, int] = {}
+    titled: set[int] = set()
+    total, outside = 0, False
+    for b in found:
+        if b.furniture:
+            continue
+        total += b.words
+        outside |= not b.loose and b.words - b.linked > TEXT_WORDS
+        for e in b.loose:
+            held[e] = held.get(e, 0) + b.words
+        if b.heading == 1:
+            titled.update(b.loose)
+    around = {e for e, words in held.items() if 2 * words > total and (e in titled or not outside)}
+    for b in found:
+        b.furniture += sum(e not in around for e in b.loose)
 
 
 def blocks(page: str) -> list[Block]:
@@ -84,27 +119,32 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    furniture = in_main = anchors = hidden = headings = 0
+    stack: list[tuple[str, int, bool]] = []
+    loose: list[int] = []
+    titles: list[int] = []
+    furniture = in_main = anchors = hidden = elements = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(html.unescape(" ".join(linked)).split()), furniture, in_main, headings > 0))
+                out.append(Block(text, len(html.unescape(" ".join(linked)).split()), furniture, in_main, min(titles, default=0), tuple(loose)))
             parts.clear()
             linked.clear()
 
     def pop() -> None:
-        nonlocal furniture, in_main, anchors, hidden, headings
+        nonlocal furniture, in_main, anchors, hidden
         tag, was_furniture, _ = stack.pop()
         if tag not in INLINE:
             flush()
-        furniture -= was_furniture
+        furniture -= was_furniture == FIRM
+        if was_furniture == LOOSE:
+            loose.pop()
         in_main -= tag in MAIN
         anchors -= tag == "a"
         hidden -= tag in HIDDEN
-        headings -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if tag in HEADINGS:
+            titles.pop()
 
     def text(value: str) -> None:
         if value and not hidden:
@@ -172,17 +212,25 @@ def blocks(page: str) -> list[Block]:
             continue
         is_furniture = _furniture(tag, m[3], in_main)
         stack.append((tag, is_furniture, False))
-        furniture += is_furniture
+        furniture += is_furniture == FIRM
+        if is_furniture == LOOSE:
+            elements += 1
+            loose.append(elements)
         in_main += tag in MAIN
         anchors += tag == "a"
         hidden += tag in HIDDEN
-        headings += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if tag in HEADINGS:
+            titles.append(int(tag[1]))
     flush()
+    _settle(out)
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row of FEATURES for each block; beyond the ends stand empty blocks. A page without article or main counts as all main."""
+    """One row of FEATURES for each block; beyond the ends stand empty blocks.
+
+    A page without article or main counts as all main, and so does one that has only furniture in them.
+    """
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
     if not n:
@@ -194,7 +242,7 @@ def features(found: list[Block]) -> np.ndarray:
     x[:-1, 4], x[:-1, 5] = w[1:], d[1:]
     x[:, 6] = [b.furniture for b in found]
     inside = [b.in_main for b in found]
-    x[:, 7] = inside if any(inside) else 1
+    x[:, 7] = inside if any(b.in_main and not b.furniture for b in found) else 1
     return x
 
 

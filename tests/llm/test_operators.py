@@ -60,6 +60,29 @@ def test_furniture_by_name():
     assert main_text(page) == "Title\n\nSome text of the article stands here."
 
 
+BODY = "<h1>Title here</h1><p>Some text of the article stands here, and it goes on for a good many words more.</p><p>A second part follows it, with words enough to be read as text by anyone who wants to.</p>"
+TEXT = "Title here\n\nSome text of the article stands here, and it goes on for a good many words more.\n\nA second part follows it, with words enough to be read as text by anyone who wants to."
+CARD = "<article class='comment'><p>I like this very much, thank you for all of it.</p></article>"
+MENU = "<nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"{MENU}<div class='entry-content'>{BODY}</div><section id=comments>{CARD}{CARD}</section>",
+        f"{MENU}<div class='entry-content'>{BODY}</div><article class='teaser'><a href=x>Read this too</a></article>",
+        f"<form method=post action=/>{MENU}<div>{BODY}</div><footer>All of it</footer></form>",
+        f"{MENU}<article class='post tag-social category-advertising'>{BODY}</article>",
+        f"<div id='page' class='right-sidebar'>{MENU}<div>{BODY}</div><div class='sidebar'>Side words here</div></div>",
+        f"<form><div id='page' class='right-sidebar'><article class='post category-advertising'>{BODY}</article>{CARD}</div></form>",
+        f"{MENU}<article>{BODY}</article><section id=comments>{CARD * 40}</section>",
+        f"{MENU}<article>{BODY}</article><form><p>Leave your name and mail here</p></form>",
+    ],
+)
+def test_furniture_around_the_text(page):
+    assert main_text(f"<body>{page}</body>") == TEXT
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p>", "<p>x</b></p></p>", "<!-- open", "<script>never closed", "<a href='x>y", "&amp &#x41; &unknown;", "<p><b>a<br><p>b" * 50])
 def test_odd_html(page):
     assert isinstance(main_text(page), str)
