@@ -140,6 +140,24 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, threshold=JACCA
     """
     scratch = Scratch(docs.sparkSession, "near")
     sigs = scratch.save(signatures(docs, width))
+    split = scratch.save(sigs.where("doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id"))
+    if split.isEmpty():
+        return _near_duplicates(docs, sigs, width, threshold, scratch)
+    # ids with several texts: each text is a vertex of its own, and those of an id are joined afterwards
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), "text").join(split.select(F.col("doc_id").alias("own"), F.lit(True).alias("several")), "own", "left")
+    rows = scratch.save(rows.select(F.when(F.col("several"), F.xxhash64("own", "text")).otherwise(F.col("own")).alias("doc_id"), "own", "text"))
+    found = _near_duplicates(rows, scratch.save(signatures(rows, width)), width, threshold, scratch)
+    owner = rows.where("own is not null").select("doc_id", "own").distinct()
+    found = scratch.save(found.join(owner, "doc_id", "left").select("own", "n_shingles", F.col("component_id").alias("c")))
+    several = found.join(split.select(F.col("doc_id").alias("own")), "own", "left_semi")
+    joined = components(scratch.save(several.join(several.groupBy("own").agg(F.min("c").alias("a")), "own").where("a <> c").select("a", F.col("c").alias("b")).distinct()), scratch)
+    found = scratch.save(found.join(joined, F.col("c") == F.col("id"), "left").select("own", "n_shingles", F.coalesce("component", "c").alias("c")))
+    least = found.where("c is not null").groupBy("c").agg(F.min("own").alias("component_id"))
+    return found.join(least, "c", "left").select(F.col("own").alias("doc_id"), "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("own") == F.col("component_id"))).alias("kept"))
+
+
+def _near_duplicates(docs: DataFrame, sigs: DataFrame, width: int, threshold, scratch: Scratch) -> DataFrame:
+    """near_duplicates of docs where all rows of an id have the same text. sigs: their signatures."""
     filled = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     own = scratch.save(filled.join(classes.where("n > 1").select("n_shingles", "d1", "d2"), ["n_shingles", "d1", "d2"], "left_anti").select("doc_id", "n_shingles", "sig").unionByName(filled.join(classes.where("n > 1").select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select("doc_id", "n_shingles", "sig")).dropDuplicates(["doc_id"]))

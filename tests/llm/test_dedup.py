@@ -116,6 +116,24 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(twice).collect()) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_several_texts_under_one_id(spark):
+    a, b, c, d = (prose(60, 900 + k) for k in range(4))
+    rows = [(5, a), (5, b), (5, b), (9, edited(a, 60, 1)), (7, edited(b, 60, 2)), (3, c), (4, d), (4, c), (8, d), (12, a), (20, None), (20, d), (21, None), (None, a)]
+    sets = [set(bag(tokens(t))) for _, t in rows]
+    up = {i: i for i, _ in rows if i is not None}
+    for _ in rows:
+        for j, (x, _) in enumerate(rows):
+            for k, (y, _) in enumerate(rows):
+                common = len(sets[j] & sets[k])
+                if x is not None and y is not None and common and 100 * common >= 75 * len(sets[j] | sets[k]):
+                    up[x] = up[y] = min(up[x], up[y])
+    want = sorted((i or 0, len(s), up.get(i) or 0, i is None or up[i] == i) for (i, _), s in zip(rows, sets, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_duplicates(df).collect()) == want
+    assert {up[i] for i in up} == {3, 5, 21}
+    assert {r.doc_id for r in deduplicated(df).collect()} == {3, 5, 21, None}
+
+
 def test_deduplicated_keeps_columns(spark):
     text = prose(30, 1)
     df = docs(spark, {1: text, 2: text + " end", 3: None, 4: prose(30, 2)})
