@@ -5,9 +5,17 @@ similar line cannot do without. Lines meet on prefix words; a pair goes on if it
 the common word (positional filter) and the parity of its word hashes (a bound on the symmetric difference) allow the
 threshold. The Jaccard similarity of the rest is verified on full sets, and the later line of a pair is removed.
 
-Words are 64-bit hashes. Rarity is the count of a word's hash bucket over all texts, on a scale of 120 steps, in a table
-of 2**18 bytes: a statistic of fixed size that is part of the plan, so that ordering words needs no join with a
-vocabulary. Any order that all lines share gives the same result; rarity only keeps the groups that meet small.
+Of two lines, the smaller needs only its first n - ceil(2t / (1 + t) n) + 1 words to meet a larger one on that one's whole
+prefix, so the smaller side of the join has little more than half of the prefix words.
+
+Before the join, each line is verified against the first lines of the groups that share two of its three least word
+hashes. What that removes cannot be removed again: the join keeps only pairs whose later line is still there, so that a
+large group of near copies makes no square of its lines.
+
+Words are 64-bit hashes, equal where rank and 56 bits are. Rarity is the count of a word's hash bucket over all texts, on
+a scale of 120 steps, in a table of 2**18 bytes: a statistic of fixed size that is part of the plan, so that ordering
+words needs no join with a vocabulary. Any order that all lines share gives the same result; rarity only keeps the groups
+that meet small.
 """
 
 from __future__ import annotations
@@ -22,25 +30,28 @@ from quire.llm.common import JACCARD, Scratch
 
 BUCKET_BITS = 18
 _KEPT = 56
+_MASK = (1 << _KEPT) - 1
 #: Passes over the prefix words: each moves this share of them, and their shuffle files go before the next.
-PASSES = 6
+PASSES = 2
+#: Lines at the front of a key's group that the others are verified against before the join.
+HEADS = 8
 _BLANK = r"[\x20\x09-\x0D]"
-_ODD_BLANK = r"[\x09\x0B-\x0D]"
 
 
 def split_words(text: Column) -> Column:
     """Words and perhaps empty strings; spaces and line feeds part at the least cost, other blanks by pattern."""
-    return F.when(F.regexp_like(text, F.lit(_ODD_BLANK)), F.split(text, _BLANK)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+    odd = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"))
+    return F.when(odd, F.split(text, _BLANK)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
 
 
-def _bucket(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 64 - BUCKET_BITS).cast("int")
+def _bucket(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - BUCKET_BITS).cast("int")
 
 
 def rarity_table(docs: DataFrame) -> bytearray:
     """A byte for each hash bucket: the logarithm of its word count over all texts (1 to 120)."""
     word = docs.select(F.explode(split_words(F.col("text"))).alias("w"))
-    counts = word.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    counts = word.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n")).toArrow()
     out = np.ones(1 << BUCKET_BITS, np.uint8)
     out[counts.column("b").to_numpy()] = 1 + np.minimum(119, np.log2(counts.column("n").to_numpy() + 1) * 4)
     return bytearray(out.tobytes())
@@ -58,14 +69,30 @@ def _line_ids(every: DataFrame) -> tuple[Column, str]:
 def word_sets(line: Column, table: bytearray) -> Column:
     """The line's distinct words as longs in order of rarity: the bucket's rank, then 56 bits of the hash."""
     ranks = F.lit(table)
-    mask = F.lit((1 << _KEPT) - 1)
+    hashes = F.array_remove(F.array_distinct(F.transform(split_words(line), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
+
+    def pack(h: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, _bucket(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), _KEPT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
+
+    return F.sort_array(F.array_distinct(F.transform(hashes, pack)))
+
+
+def _parity() -> tuple[Column, Column]:
+    """128 parity bits of column w in two longs: of all words by six bits of the hash, and of those with the seventh bit set."""
+    zero, one = (F.lit(x).cast("long") for x in (0, 1))
+    bit = lambda what, v: F.call_function("shiftleft", what, v.bitwiseAND(F.lit(63)).cast("int"))
+    every = F.aggregate("w", zero, lambda acc, v: acc.bitwiseXOR(bit(one, v)))
+    odd = F.aggregate("w", zero, lambda acc, v: acc.bitwiseXOR(bit(F.shiftright(v, 6).bitwiseAND(one), v)))
+    return every, odd
 
-    def pack(word: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, _bucket(word) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(F.coalesce(rank, F.lit(1)).cast("long"), _KEPT).bitwiseOR(F.xxhash64(word).bitwiseAND(mask))
 
-    packed = F.array_distinct(F.transform(split_words(line), pack))
-    return F.sort_array(F.array_remove(packed, pack(F.lit(""))))
+def _keys() -> Column:
+    """Three keys of column w, each of two of its three least hashes; none under three words, which no other set is similar to."""
+    least = F.sort_array(F.transform("w", lambda v: v.bitwiseAND(F.lit(_MASK))))
+    a, b, c = (F.get(F.col("least"), F.lit(i)) for i in range(3))
+    two = lambda x, y: F.xxhash64(x, y)
+    return least, F.when(F.col("n") >= 3, F.array(two(a, b), two(a, c), two(b, c))).otherwise(F.array().cast("array<long>"))
 
 
 def _needed(n: str, threshold) -> str:
@@ -79,15 +106,26 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _shorter(n: str, threshold) -> str:
+    """Words of a set of n of which one at least is in the prefix of every similar set that is not smaller."""
+    p, q = threshold
+    return f"cast({n} - ceil({n} * {2 * p} / {p + q}) + 1 as int)"
+
+
+def _alike(na: str, nb: str, a: str, b: str, p: int, q: int) -> str:
+    """May sets of these sizes and parity bits reach the threshold p / q?"""
+    size = f"least({na}, {nb}) * {q} >= greatest({na}, {nb}) * {p}"
+    # the symmetric difference of sets at the threshold is at most (q - p) / (q + p) of the sum of sizes; all = even ^ odd
+    apart = f"(bit_count({a}bits ^ {b}bits ^ {a}odd ^ {b}odd) + bit_count({a}odd ^ {b}odd)) * {p + q} <= ({na} + {nb}) * {q - p}"
+    return f"{size} and {apart}"
+
+
 def _allowed(za: str, zb: str, a: str, b: str, p: int, q: int) -> str:
-    """May lines with a common prefix word reach the threshold p / q? z: size in the high half, the word's place (from 0) in the low one."""
+    """May lines with a common prefix word reach the threshold p / q? z: size in the high half, then the word's place (from 0), then a flag."""
     na, nb = f"shiftright({za}, 32)", f"shiftright({zb}, 32)"
-    ia, ib = f"({za} & 4294967295)", f"({zb} & 4294967295)"
-    size = f"least({na}, {nb}) * {q} >= greatest({na}, {nb}) * {p}"
+    ia, ib = f"(shiftright({za}, 1) & 2147483647)", f"(shiftright({zb}, 1) & 2147483647)"
     place = f"least({na} - {ia}, {nb} - {ib}) * {p + q} >= ({na} + {nb}) * {p}"
-    # the symmetric difference of sets at the threshold is at most (q - p) / (q + p) of the sum of sizes
-    apart = f"(bit_count({a}bits ^ {b}bits) + bit_count({a}odd ^ {b}odd)) * {p + q} <= ({na} + {nb}) * {q - p}"
-    return f"{size} and {place} and {apart}"
+    return f"{place} and {_alike(na, nb, a, b, p, q)}"
 
 
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, table: bytearray, threshold, scratch: Scratch) -> DataFrame:
@@ -111,46 +149,45 @@ def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None =
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     table = rarity_table(docs)
-    sets = lines(docs).select("doc_id", "line_no", word_sets(F.col("line"), table).alias("w"))
-    # 128 parity bits in two words, of the words with an even and an odd seventh bit
-    shifted = lambda bit, v: F.call_function("shiftleft", bit, v.bitwiseAND(F.lit(63)).cast("int"))
-    seventh = lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(1))
-    zero, one = (F.lit(x).cast("long") for x in (0, 1))
-    even = F.aggregate("w", zero, lambda acc, v: acc.bitwiseXOR(shifted(one - seventh(v), v)))
-    odd = F.aggregate("w", zero, lambda acc, v: acc.bitwiseXOR(shifted(seventh(v), v)))
-    sized = sets.withColumn("n", F.size("w"))
-    every = scratch.save(sized.select("doc_id", "line_no", "n", F.xxhash64(F.lit(1), "w").alias("k1"), F.xxhash64(F.lit(2), "w").alias("k2"), even.alias("bits"), odd.alias("odd"), F.expr(f"slice(w, 1, {_needed('n', threshold)})").alias("prefix")))
+    sets = lines(docs).select("doc_id", "line_no", word_sets(F.col("line"), table).alias("w")).withColumn("n", F.size("w"))
+    (bits, odd), (least, keys) = _parity(), _keys()
+    kept = ["doc_id", "line_no", "n", F.xxhash64(F.lit(1), "w").alias("k1"), F.xxhash64(F.lit(2), "w").alias("k2"), bits.alias("bits"), odd.alias("odd"), F.expr(f"slice(w, 1, {_needed('n', threshold)})").alias("prefix")]
+    every = scratch.save(sets.select(*kept, F.slice(least, 1, 3).alias("least")).withColumn("keys", keys).drop("least"))
     named = every.where("n > 0 and doc_id is not null")
     # equal sets: the first line stands for all; ids follow the order of lines
     id_, order = _line_ids(every)
-    first = named.withColumn("id", id_).groupBy("k1", "k2").agg(F.min(F.struct(*dict.fromkeys((order, "doc_id", "line_no", "n", "bits", "odd", "prefix")))).alias("m")).select("m.*")
+    first = named.withColumn("id", id_).groupBy("k1", "k2").agg(F.min(F.struct(*dict.fromkeys((order, "doc_id", "line_no", "n", "bits", "odd", "prefix", "keys")))).alias("m")).select("m.*")
     if order != "id":
         first = first.orderBy("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id())
     first = scratch.save(first)
     equal = scratch.save(named.select("doc_id", "line_no").join(first.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
     scratch.drop(every)
     scratch.settle()
-    exploded = lambda df: df.select("id", "n", "bits", "odd", F.posexplode("prefix").alias("i", "w")).select("w", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("z"), "bits", "odd")
-    share = lambda df, k: exploded(df).where(F.pmod("w", F.lit(PASSES)) == k)
-    # each line against the first line of each of its prefix words; words are dealt to passes to bound the disk in use
-    head = F.first(F.struct("id", "z", "bits", "odd")).over(Window.partitionBy("w").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    close = F.expr(f"h.id < id and {_allowed('h.z', 'z', 'h.', '', p, q)}")
-    parts = []
-    for k in range(PASSES):
-        led = share(first, k).withColumn("h", head).where(close)
-        parts.append(scratch.save(led.select(F.col("h.id").alias("ia"), F.col("id").alias("ib")).distinct()))
-        scratch.settle()
-    pairs = scratch.save(reduce(DataFrame.unionByName, parts).distinct())
+    # each line against the first lines of the groups of its keys; most keys have one line and end here
+    keyed = first.select("id", "n", "bits", "odd", F.explode("keys").alias("key"))
+    shared = scratch.save(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key", "left_semi"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    heads = shared.withColumn("r", place).where(F.col("r") <= HEADS).select("key", F.col("id").alias("ia"), *[F.col(c).alias("a_" + c) for c in ("n", "bits", "odd")])
+    led = shared.join(heads, "key").where(F.expr(f"ia < id and {_alike('a_n', 'n', 'a_', '', p, q)}"))
+    pairs = scratch.save(led.select("ia", F.col("id").alias("ib")).distinct())
+    scratch.drop(shared)
     done = scratch.save(_verified(docs, first, pairs, table, threshold, scratch))
-    # lines that these leave open meet all lines before them
-    left = scratch.save(first.join(done, F.col("id") == F.col("ib"), "left_anti"))
+    # all other pairs: the smaller line's shorter prefix meets the larger one's whole prefix
+    marked = scratch.save(first.join(done.withColumnRenamed("ib", "id").withColumn("gone", F.lit(1)), "id", "left").select("id", "n", "bits", "odd", "prefix", F.col("gone").isNull().cast("int").alias("open")))
+
+    def share(size: str, k: int) -> DataFrame:
+        words = marked.select("id", "n", "bits", "odd", "open", F.posexplode(F.expr(f"slice(prefix, 1, {size})")).alias("i", "w")).where(F.pmod("w", F.lit(PASSES)) == k)
+        return words.select("w", "id", F.expr("shiftleft(cast(n as long), 32) | shiftleft(cast(i as long), 1) | open").alias("z"), "bits", "odd")
+
     parts = []
+    ordered = "(shiftright(a.z, 32) < shiftright(b.z, 32) or shiftright(a.z, 32) = shiftright(b.z, 32) and a.id < b.id)"
+    later_open = "(case when a.id < b.id then b.z else a.z end) & 1 = 1"
     for k in range(PASSES):
-        a, b = share(first, k).alias("a"), share(left, k).alias("b")
-        more = a.join(b, F.expr(f"a.w = b.w and a.id < b.id and {_allowed('a.z', 'b.z', 'a.', 'b.', p, q)}"))
-        parts.append(scratch.save(more.select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()))
+        a, b = share(_shorter("n", threshold), k).alias("a"), share("n", k).alias("b")
+        met = a.join(b, F.expr(f"a.w = b.w and {ordered} and {later_open} and {_allowed('a.z', 'b.z', 'a.', 'b.', p, q)}"))
+        parts.append(scratch.save(met.select(F.expr("least(a.id, b.id)").alias("ia"), F.expr("greatest(a.id, b.id)").alias("ib")).distinct()))
         scratch.settle()
-    scratch.drop(left)
+    scratch.drop(marked)
     more = reduce(DataFrame.unionByName, parts).distinct()
     found = scratch.save(done.unionByName(_verified(docs, first, more.join(pairs, ["ia", "ib"], "left_anti"), table, threshold, scratch)))
     near = first.join(found, F.col("id") == F.col("ib"), "left_semi").select("doc_id", "line_no")

@@ -195,3 +195,12 @@ def test_lines_of_odd_tables(spark):
 def test_lines_stay_native(spark, lined):
     plan = deduplicate_lines(docs(spark, lined))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_lines_of_a_large_group_and_a_common_word(spark):
+    # near copies of one line, at most of which the first of the group is not similar to; one word in nearly all lines
+    base = prose(40, 7)
+    texts = {i: f"{edited(base, 9, i)}\nthe {prose(12, 1000 + i, 30)}" for i in range(60)}
+    texts[60] = "the " + prose(400, 5)
+    got = {r.doc_id: list(r.removed) for r in deduplicate_lines(docs(spark, texts)).collect()}
+    assert got == later_lines(texts) and any(got.values()) and any(not x for i, x in got.items() if i)
