@@ -34,10 +34,12 @@ class Scratch:
         self.base = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, hashes: bool = False) -> DataFrame:
+        """df as a table. hashes: its columns are mostly hash values, on which dictionaries and strong compression are lost time."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        how = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"} if hashes else {"compression": "zstd"}
+        df.write.options(**how).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quire_path = path
         return out

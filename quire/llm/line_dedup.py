@@ -8,7 +8,7 @@ threshold. The Jaccard similarity of the rest is verified on full sets, and the
 Of two lines, the smaller needs only its first n - ceil(2t / (1 + t) n) + 1 words to meet a larger one on that one's whole
 prefix, so the smaller side of the join has little more than half of the prefix words.
 
-Before the join, each line is verified against the first lines of the groups that share two of its three least word
+Before the join, each line is verified against the first lines of the groups that share two of its four least word
 hashes. What that removes cannot be removed again: the join keeps only pairs whose later line is still there, so that a
 large group of near copies makes no square of its lines.
 
@@ -32,7 +32,7 @@ BUCKET_BITS = 18
 _KEPT = 56
 _MASK = (1 << _KEPT) - 1
 #: Passes over the prefix words: each moves this share of them, and their shuffle files go before the next.
-PASSES = 2
+PASSES = 3
 #: Lines at the front of a key's group that the others are verified against before the join.
 HEADS = 8
 _BLANK = r"[\x20\x09-\x0D]"
@@ -69,7 +69,7 @@ def _line_ids(every: DataFrame) -> tuple[Column, str]:
 def word_sets(line: Column, table: bytearray) -> Column:
     """The line's distinct words as longs in order of rarity: the bucket's rank, then 56 bits of the hash."""
     ranks = F.lit(table)
-    hashes = F.array_remove(F.array_distinct(F.transform(split_words(line), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
+    hashes = F.array_remove(F.transform(split_words(line), lambda word: F.xxhash64(word)), F.xxhash64(F.lit("")))
 
     def pack(h: Column) -> Column:
         rank = F.ascii(F.substring(ranks, _bucket(h) + 1, F.lit(1)).cast("string"))
@@ -88,11 +88,10 @@ def _parity() -> tuple[Column, Column]:
 
 
 def _keys() -> Column:
-    """Three keys of column w, each of two of its three least hashes; none under three words, which no other set is similar to."""
+    """Two keys of column w, each of two of its four least hashes; none under three words, which no other set is similar to."""
     least = F.sort_array(F.transform("w", lambda v: v.bitwiseAND(F.lit(_MASK))))
-    a, b, c = (F.get(F.col("least"), F.lit(i)) for i in range(3))
-    two = lambda x, y: F.xxhash64(x, y)
-    return least, F.when(F.col("n") >= 3, F.array(two(a, b), two(a, c), two(b, c))).otherwise(F.array().cast("array<long>"))
+    a, b, c, d = (F.get(F.col("least"), F.lit(i)) for i in range(4))
+    return least, F.when(F.col("n") >= 3, F.array(F.xxhash64(a, b), F.xxhash64(c, d))).otherwise(F.array().cast("array<long>"))
 
 
 def _needed(n: str, threshold) -> str:
@@ -132,15 +131,16 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, table: bytear
     """ib: the later lines of the pairs (ia, ib) whose full sets reach the threshold."""
     p, q = threshold
     wanted = pairs.select(F.col("ia").alias("id")).unionByName(pairs.select(F.col("ib").alias("id"))).distinct()
-    by_doc = first.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line_no")).alias("ls")).withColumnRenamed("doc_id", "d")
-    again = docs.join(by_doc, F.col("doc_id") == F.col("d")).select(F.explode("ls").alias("l"), F.split("text", "\n").alias("t"))
-    full = scratch.save(again.select(F.col("l.id").alias("id"), word_sets(F.get("t", F.col("l.line_no")), table).alias("w")))
+    by_doc = first.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "id"))).alias("ids")).withColumnRenamed("doc_id", "d")
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.element_at("ids", i).alias("id"), line.alias("line")))
+    again = docs.join(by_doc, F.col("doc_id") == F.col("d")).select(F.inline(F.filter(numbered, lambda s: s["id"].isNotNull())))
+    full = scratch.save(again.select("id", word_sets(F.col("line"), table).alias("w")), hashes=True)
     scratch.settle()
     x = full.select(F.col("id").alias("ia"), F.col("w").alias("x"))
     y = full.select(F.col("id").alias("ib"), F.col("w").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(x, "ia").join(y, "ib")
-    return both.where((common * q >= p * (F.size("x") + F.size("y") - common)) & (common > 0)).select("ib").distinct()
+    # common / (x + y - common) >= p / q, with the common words counted once
+    return pairs.join(x, "ia").join(y, "ib").where(common * (p + q) >= p * (F.size("x") + F.size("y"))).select("ib").distinct()
 
 
 def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None = None) -> DataFrame:
@@ -151,21 +151,21 @@ def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None =
     table = rarity_table(docs)
     sets = lines(docs).select("doc_id", "line_no", word_sets(F.col("line"), table).alias("w")).withColumn("n", F.size("w"))
     (bits, odd), (least, keys) = _parity(), _keys()
-    kept = ["doc_id", "line_no", "n", F.xxhash64(F.lit(1), "w").alias("k1"), F.xxhash64(F.lit(2), "w").alias("k2"), bits.alias("bits"), odd.alias("odd"), F.expr(f"slice(w, 1, {_needed('n', threshold)})").alias("prefix")]
-    every = scratch.save(sets.select(*kept, F.slice(least, 1, 3).alias("least")).withColumn("keys", keys).drop("least"))
+    kept = ["doc_id", "line_no", "n", F.xxhash64("w").alias("k"), bits.alias("bits"), odd.alias("odd"), F.expr(f"slice(w, 1, {_needed('n', threshold)})").alias("prefix")]
+    every = scratch.save(sets.select(*kept, F.slice(least, 1, 4).alias("least")).withColumn("keys", keys).drop("least"), hashes=True)
     named = every.where("n > 0 and doc_id is not null")
-    # equal sets: the first line stands for all; ids follow the order of lines
+    # equal sets (by 64 bits of hash, 128 of parity and the size): the first line stands for all; ids follow the order of lines
     id_, order = _line_ids(every)
-    first = named.withColumn("id", id_).groupBy("k1", "k2").agg(F.min(F.struct(*dict.fromkeys((order, "doc_id", "line_no", "n", "bits", "odd", "prefix", "keys")))).alias("m")).select("m.*")
+    first = named.withColumn("id", id_).groupBy("k", "n", "bits", "odd").agg(F.min(F.struct(*dict.fromkeys((order, "doc_id", "line_no", "prefix", "keys")))).alias("m")).select("m.*", "n", "bits", "odd")
     if order != "id":
         first = first.orderBy("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id())
-    first = scratch.save(first)
+    first = scratch.save(first, hashes=True)
     equal = scratch.save(named.select("doc_id", "line_no").join(first.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
     scratch.drop(every)
     scratch.settle()
     # each line against the first lines of the groups of its keys; most keys have one line and end here
     keyed = first.select("id", "n", "bits", "odd", F.explode("keys").alias("key"))
-    shared = scratch.save(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key", "left_semi"))
+    shared = scratch.save(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key", "left_semi"), hashes=True)
     place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     heads = shared.withColumn("r", place).where(F.col("r") <= HEADS).select("key", F.col("id").alias("ia"), *[F.col(c).alias("a_" + c) for c in ("n", "bits", "odd")])
     led = shared.join(heads, "key").where(F.expr(f"ia < id and {_alike('a_n', 'n', 'a_', '', p, q)}"))
@@ -173,7 +173,8 @@ def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None =
     scratch.drop(shared)
     done = scratch.save(_verified(docs, first, pairs, table, threshold, scratch))
     # all other pairs: the smaller line's shorter prefix meets the larger one's whole prefix
-    marked = scratch.save(first.join(done.withColumnRenamed("ib", "id").withColumn("gone", F.lit(1)), "id", "left").select("id", "n", "bits", "odd", "prefix", F.col("gone").isNull().cast("int").alias("open")))
+    marked = scratch.save(first.join(done.withColumnRenamed("ib", "id").withColumn("gone", F.lit(1)), "id", "left").select("id", "doc_id", "line_no", "n", "bits", "odd", "prefix", F.col("gone").isNull().cast("int").alias("open")), hashes=True)
+    scratch.drop(first)
 
     def share(size: str, k: int) -> DataFrame:
         words = marked.select("id", "n", "bits", "odd", "open", F.posexplode(F.expr(f"slice(prefix, 1, {size})")).alias("i", "w")).where(F.pmod("w", F.lit(PASSES)) == k)
@@ -187,10 +188,9 @@ def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None =
         met = a.join(b, F.expr(f"a.w = b.w and {ordered} and {later_open} and {_allowed('a.z', 'b.z', 'a.', 'b.', p, q)}"))
         parts.append(scratch.save(met.select(F.expr("least(a.id, b.id)").alias("ia"), F.expr("greatest(a.id, b.id)").alias("ib")).distinct()))
         scratch.settle()
-    scratch.drop(marked)
     more = reduce(DataFrame.unionByName, parts).distinct()
-    found = scratch.save(done.unionByName(_verified(docs, first, more.join(pairs, ["ia", "ib"], "left_anti"), table, threshold, scratch)))
-    near = first.join(found, F.col("id") == F.col("ib"), "left_semi").select("doc_id", "line_no")
+    found = scratch.save(done.unionByName(_verified(docs, marked, more.join(pairs, ["ia", "ib"], "left_anti"), table, threshold, scratch)))
+    near = marked.join(found, F.col("id") == F.col("ib"), "left_semi").select("doc_id", "line_no")
     # what is similar to the first of equal lines removes that one; its copies are removed already
     return equal.unionByName(near).distinct()
 
