@@ -32,7 +32,7 @@ BUCKET_BITS = 18
 _KEPT = 56
 _MASK = (1 << _KEPT) - 1
 #: Passes over the prefix words: each moves this share of them, and their shuffle files go before the next.
-PASSES = 3
+PASSES = 4
 #: Lines at the front of a key's group that the others are verified against before the join.
 HEADS = 8
 _BLANK = r"[\x20\x09-\x0D]"

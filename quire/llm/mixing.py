@@ -1,13 +1,20 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Sources get targets by weight, bounded by how often a word may repeat. A source's target becomes a whole number of
-equal-token blocks, dealt to its shards by highest quotients (Sainte-Laguë). Within a shard, documents lie in a seeded
-order; their words form one run, cut into blocks, and the quota takes whole passes over the run and then its first
-blocks. The plan uses DataFrame functions only; what is sorted together is one shard of one source, of bounded size.
+Sources get targets by weight, bounded by how often a word may repeat. The mix is a whole number of equal-token blocks,
+dealt by highest quotients v / (2 s + 1) (Sainte-Laguë) first to the sources by their targets, then by each source to its
+shards by their words. Within a shard, documents lie in a seeded order; their words form one run, cut into blocks, and
+the quota takes whole passes over the run and then its first blocks. The plan uses DataFrame functions only; what is
+sorted together is one shard of one source, of bounded size.
+
+Seats are exact for any number of them: at the divisor that ends the deal, the rounded shares of n parties sum to the
+seats, so that votes / divisor is within n / 2 of the seats in sum. That bounds each party's seats from below and above,
+by about 2 n seats in all, and only the quotients between the bounds are ranked.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -48,6 +55,22 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, r
     return out
 
 
+def apportion(votes: list[Fraction], seats: int) -> list[int]:
+    """Seats of each party by highest quotients votes / (2 s + 1); the first of equal ones wins."""
+    total, n = sum(votes), len(votes)
+    if not total:
+        return [0] * n
+    least = max(Fraction(0), seats - Fraction(n, 2)) / total
+    out = [max(0, math.floor(v * least + Fraction(1, 2)) - 1) for v in votes]
+    heap = [(-Fraction(v) / (2 * s + 1), i) for i, (v, s) in enumerate(zip(votes, out, strict=True))]
+    heapq.heapify(heap)
+    for _ in range(seats - sum(out)):
+        _, i = heap[0]
+        out[i] += 1
+        heapq.heapreplace(heap, (-Fraction(votes[i]) / (2 * out[i] + 1), i))
+    return out
+
+
 def mix(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, weights=WEIGHTS, share=SHARE, repeats=REPEATS) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for each row.
 
@@ -63,9 +86,12 @@ def mix(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS, shard
     if not totals:
         return base.select("doc_id", "size", "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     goal = targets([(r["source"], r["size"]) for r in totals], weights, share, repeats)
+    totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    votes = [goal[r["source"]] for r in totals]
+    blocks = apportion(votes, math.floor(sum(votes) / block_words + Fraction(1, 2)))
     spark = docs.sparkSession
     plan = spark.createDataFrame(
-        [(r["source"], r["size"], float(goal[r["source"]]), int(goal[r["source"]] / block_words + Fraction(1, 2)), max(1, -(-r["docs"] // shard_docs))) for r in totals],
+        [(r["source"], r["size"], float(v), b, max(1, -(-r["docs"] // shard_docs))) for r, v, b in zip(totals, votes, blocks, strict=True)],
         "p_source string, source_size long, target double, blocks long, shards long",
     )
     # without broadcasts by hint: Spark takes one only if the plan table is under its size limit
@@ -83,25 +109,20 @@ def mix(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS, shard
 def _quotas(keyed: DataFrame, repeats: int, block_words: int) -> DataFrame:
     """Words that each shard of each source takes: Sainte-Laguë seats by shard words, at most what the shard can repeat.
 
-    Seats go to the highest quotients words / (2 s + 1). A shard's share is blocks * words / source words; it gets the
-    floor of it at once less one, and the last few seats by quotient, so that no list of all seats is made.
+    One task ranks about four quotients a shard of a source, that is one for every 512 of its documents.
     """
-    shard = keyed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("blocks").alias("blocks"))
-    # At divisor d the seats are round(words / d). With d = source words / blocks their sum differs from blocks by half
-    # the number of shards at most; the difference is made up by the quotients nearest to the divisor.
-    exact = F.col("words") * F.col("blocks") / F.greatest("source_size", F.lit(1))
-    shard = shard.withColumn("exact", exact.cast("double")).withColumn("seats", F.floor(F.col("exact") + 0.5).cast("long"))
-    per = shard.groupBy("source").agg(F.sum("seats").alias("given"), F.first("blocks").alias("wanted"), F.count("*").alias("n"))
-    shard = shard.join(per.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    missing = F.col("wanted") - F.col("given")
-    # quotient that the next seat (or the last one given) stands for, relative to the divisor
-    up = F.col("exact") / (F.col("seats") + 0.5)
-    down = F.when(F.col("seats") > 0, F.col("exact") / (F.col("seats") - 0.5))
-    order = F.when(missing >= 0, -up).otherwise(F.coalesce(down, F.lit(float("inf"))))
-    shard = shard.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(order, "shard")))
-    change = F.when((missing > 0) & (F.col("place") <= missing), 1).when((missing < 0) & (F.col("place") <= -missing) & (F.col("seats") > 0), -1).otherwise(0)
-    quota = F.least((F.col("seats") + change) * block_words, F.col("words") * repeats)
-    return shard.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "words", quota.alias("quota"))
+    shard = keyed.groupBy("source", "shard").agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("source_size", "blocks", "shards")])
+    share = F.col("words") / F.greatest("source_size", F.lit(1))
+    seats = lambda blocks: F.floor(share * blocks + 0.5).cast("long")
+    shard = shard.withColumn("low", F.greatest(seats(F.greatest(F.col("blocks") - F.col("shards") / 2, F.lit(0))) - 1, F.lit(0))).withColumn("high", seats(F.col("blocks") + F.col("shards") / 2) + 1)
+    given = shard.groupBy("source").agg(F.sum("low").alias("given")).withColumnRenamed("source", "s2")
+    quotients = shard.select("source", "shard", "blocks", "words", F.explode(F.sequence("low", "high")).alias("seat")).withColumn("quotient", F.col("words") / (2 * F.col("seat") + 1))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("quotient"), "shard"))
+    ranked = quotients.withColumn("place", place).join(given, F.col("source").eqNullSafe(F.col("s2")))
+    won = ranked.where(F.col("place") <= F.col("blocks") - F.col("given")).groupBy(F.col("source").alias("s2"), F.col("shard").alias("n2")).agg(F.count("*").alias("won"))
+    out = shard.join(won, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("n2")), "left")
+    quota = F.least((F.col("low") + F.coalesce("won", F.lit(0))) * block_words, F.col("words") * repeats)
+    return out.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "words", quota.alias("quota"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:

@@ -92,13 +92,17 @@ t2 AS (SELECT *, coalesce(sum(size) OVER o, 0) AS below, sum(w) OVER () - coales
 t3 AS (SELECT *, (3 * total - 4 * below) * w > 4 * size * open AS is_full FROM t2),
 t4 AS (SELECT *, sum(CASE WHEN is_full THEN size ELSE 0 END) OVER () AS gone, sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () AS left_w FROM t3),
 t5 AS (SELECT source, size AS source_size, docs, CASE WHEN is_full THEN 2 * size::DOUBLE ELSE ((3 * total - 4 * gone) * w)::DOUBLE / (2 * left_w)::DOUBLE END AS target FROM t4),
-t6 AS (SELECT *, floor(target / 16 + 0.5)::BIGINT AS blocks, greatest(1, (docs + 2047) // 2048) AS shards FROM t5),
+-- blocks of 16 words to sources, then to shards, by highest quotients: all quotients that may win are listed and ranked
+s0 AS (SELECT source, target, unnest(range(0, floor(target / 16)::BIGINT + (SELECT count(*) FROM t5) + 1)) AS i FROM t5),
+s1 AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source IS NULL, encode(source)) AS place FROM s0 WHERE target > 0),
+s2 AS (SELECT source, count(*) AS blocks FROM s1 WHERE place <= (SELECT floor(sum(target) / 16 + 0.5) FROM t5) GROUP BY source),
+t6 AS (SELECT t5.*, coalesce(blocks, 0) AS blocks, greatest(1, (docs + 2047) // 2048) AS shards FROM t5 LEFT JOIN s2 ON t5.source IS NOT DISTINCT FROM s2.source),
 k AS (SELECT d.*, t6.* EXCLUDE (source), ('0x' || substr(rank, 1, 8))::BIGINT % shards AS shard FROM d JOIN t6 ON d.source IS NOT DISTINCT FROM t6.source),
-q0 AS (SELECT source, shard, sum(size)::BIGINT AS words, any_value(source_size) AS ss, any_value(blocks) AS blocks FROM k GROUP BY source, shard),
-q1 AS (SELECT *, (words * blocks)::DOUBLE / greatest(ss, 1) AS exact FROM q0),
-q2 AS (SELECT *, floor(exact + 0.5)::BIGINT AS seats, blocks - sum(floor(exact + 0.5)::BIGINT) OVER (PARTITION BY source) AS missing FROM q1),
-q3 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN missing >= 0 THEN -exact / (seats + 0.5) WHEN seats > 0 THEN exact / (seats - 0.5) ELSE 'inf'::DOUBLE END, shard) AS place FROM q2),
-q4 AS (SELECT source, shard, words, least((seats + CASE WHEN missing > 0 AND place <= missing THEN 1 WHEN missing < 0 AND place <= -missing AND seats > 0 THEN -1 ELSE 0 END) * 16, words * 2)::BIGINT AS quota FROM q3),
+q0 AS (SELECT source, shard, sum(size)::BIGINT AS words, any_value(source_size) AS ss, any_value(blocks) AS blocks, any_value(shards) AS n FROM k GROUP BY source, shard),
+q1 AS (SELECT source, shard, words, blocks, unnest(range(0, floor(words::DOUBLE / greatest(ss, 1) * (blocks + n))::BIGINT + 2)) AS i FROM q0),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY words::DOUBLE / (2 * i + 1) DESC, shard) AS place FROM q1),
+q3 AS (SELECT source, shard, count(*) AS seats FROM q2 WHERE place <= blocks GROUP BY source, shard),
+q4 AS (SELECT q0.source, q0.shard, words, least(coalesce(seats, 0) * 16, words * 2)::BIGINT AS quota FROM q0 LEFT JOIN q3 ON q0.source IS NOT DISTINCT FROM q3.source AND q0.shard = q3.shard),
 z AS (SELECT k.*, q4.words, q4.quota, coalesce(sum(k.size) OVER (PARTITION BY k.source, k.shard ORDER BY k.rank, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k JOIN q4 ON k.source IS NOT DISTINCT FROM q4.source AND k.shard = q4.shard)
 SELECT doc_id, size, source_size, target, (CASE WHEN words > 0 THEN (quota // words) * size + least(greatest(quota % words - before, 0), size) ELSE 0 END)::BIGINT AS taken FROM z""",
 }

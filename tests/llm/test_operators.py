@@ -10,7 +10,7 @@ from quire.llm.decontamination import clean, contaminated
 from quire.llm.html_text import Tree, extract, main_text
 from quire.llm.language_id import held_out, identify
 from quire.llm.media import media_columns
-from quire.llm.mixing import mix, mixed, targets
+from quire.llm.mixing import _quotas, apportion, mix, mixed, targets
 from quire.llm.sharding import shard
 from quire.llm.token_count import count_tokens, default_path, merges_in
 from tests.llm.helpers import bag, docs, edited, prose, similarity, tokens
@@ -152,6 +152,30 @@ def test_mix(sources, shard_docs):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 16 * (1 + len(own) / shard_docs * 2)
 
 
+def highest_quotients(votes, seats):
+    """The plain loop."""
+    out = [0] * len(votes)
+    for _ in range(seats):
+        out[max(range(len(votes)), key=lambda i: (Fraction(votes[i], 2 * out[i] + 1), -i))] += 1
+    return out
+
+
+DEALS = [([20000] + [100] * 8, 130), ([1000000] + [400] * 5, 1002), ([7, 7, 7], 5), ([1], 9), ([0, 3, 0], 4), ([5, 3, 1] * 30, 17), ([10**6 + i * i for i in range(40)], 333), ([3, 3], 0)]
+
+
+@pytest.mark.parametrize("votes,seats", DEALS)
+def test_apportionment(votes, seats):
+    assert apportion([Fraction(v) for v in votes], seats) == highest_quotients(votes, seats)
+
+
+def test_quotas_of_shards(spark):
+    rows = [(str(k), i, v, sum(votes), seats, len(votes)) for k, (votes, seats) in enumerate(DEALS) for i, v in enumerate(votes)]
+    keyed = spark.createDataFrame(rows, "source string, shard long, size long, source_size long, blocks long, shards long")
+    got = {(r.q_source, r.q_shard): r.quota for r in _quotas(keyed, 10**6, 16).collect()}
+    want = {(str(k), i): min(16 * n, votes[i] * 10**6) for k, (votes, seats) in enumerate(DEALS) for i, n in enumerate(highest_quotients(votes, seats))}
+    assert got == want
+
+
 def test_mixed(sources):
     got = mixed(sources)
     counts = Counter(r.doc_id for r in got.collect())
