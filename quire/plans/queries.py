@@ -146,15 +146,24 @@ def column_count(spark, sf):
     return B.column_count(docs(spark, sf).withColumn("x0", 3.0 * (F.length("text") % 40)))
 
 
-FRAGMENTS = f"""f AS (SELECT book_id, page_no, string_split_regex({trim('text')}, '\\s+')[1] || CASE WHEN line_no % 3 = 0 THEN ' b' ELSE '' END AS t, 12::DOUBLE * (length(text) % 30) AS x FROM dl WHERE {trim('text')} <> '')"""
+FRAGMENTS = f"""f0 AS (SELECT book_id, page_no, line_no, CASE WHEN page_no % 3 = 0 THEN [{trim('text')}] ELSE list_filter(string_split_regex({trim('text')}, '\\s+'), lambda x: x <> '') END AS ts FROM dl WHERE {trim('text')} <> ''),
+f1 AS (SELECT book_id, page_no, line_no, unnest(ts) AS w, unnest(range(len(ts))) AS i FROM f0),
+f AS (SELECT *, w || CASE WHEN (line_no + i) % 3 = 0 THEN ' b' ELSE '' END AS t, 12::DOUBLE * ((length(w) + i) % 30) AS x FROM f1)"""
+
+
+def _fragments(spark, sf) -> DataFrame:
+    """Documents with every word as a line of its own (w, and i: its place in the line), but for every third page, whose lines stay whole."""
+    lines = docs(spark, sf).where(X.strip(F.col("text")) != "")
+    t = X.strip(F.col("text"))
+    parts = F.when(F.col("page_no") % 3 == 0, F.array(t)).otherwise(F.filter(F.split(t, r"\s+"), lambda x: x != ""))
+    return lines.select("book_id", "page_no", "line_no", F.posexplode(parts).alias("i", "w"))
 
 
 @query(f"""WITH {DL}, {FRAGMENTS}, {COLUMNS_SQL}, s AS (SELECT book_id, page_no, count(*) AS n, sum(len(string_split_regex(t, '\\s+')))::DOUBLE / count(*) AS aw, list_sort(list(length(t)))[count(*) // 2 + 1] AS um FROM f GROUP BY ALL)
 SELECT book_id, page_no FROM s JOIN cc USING (book_id, page_no) WHERE n >= 10 AND aw < 2.5 AND um < 25 AND columns > 10""")
 def map_pages(spark, sf):
-    lines = docs(spark, sf).where(X.strip(F.col("text")) != "")
-    word = F.get(F.split(X.strip(F.col("text")), r"\s+"), F.lit(0))
-    return B.map_pages(lines.withColumn("x0", 12.0 * (F.length("text") % 30)).withColumn("text", F.concat(word, F.when(F.col("line_no") % 3 == 0, " b").otherwise(""))))
+    lines = _fragments(spark, sf).withColumn("x0", 12.0 * ((F.length("w") + F.col("i")) % 30))
+    return B.map_pages(lines.withColumn("text", F.concat("w", F.when((F.col("line_no") + F.col("i")) % 3 == 0, " b").otherwise(""))))
 
 
 PEEL = f"""{REPEATS},
@@ -250,7 +259,7 @@ HEADED = """CASE line_no % 9 WHEN 0 THEN 'Chapter ' || line_no || ' ' || w WHEN
 DIVISION_SQL = r"(?i)^\s*(chapters?|parts?|books?|sections?|prologue|epilogue|introduction|preface|appendix(?:es|ices)?|conclusions?|foreword|afterword|abstract|summary|bibliography|references|acknowledge?ments?|glossary|index)($|[^\p{L}\p{N}_])"
 
 
-@query(rf"""WITH {DL}, k0 AS (SELECT *, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:1 + line_no % 11], ' ') AS w, 11 * (1 + (page_no % 11) / 10::DOUBLE) AS sz, page_no % 2 = 0 AS bold FROM dl),
+@query(rf"""WITH {DL}, k0 AS (SELECT *, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ') AS w, 11 * (1 + (page_no % 11) / 10::DOUBLE) AS sz, page_no % 2 = 0 AS bold FROM dl),
 k1 AS (SELECT *, {trim(HEADED)} AS t, sz / 11 AS ratio FROM k0),
 k2 AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS words, regexp_extract(t, '^\s*(\d+(?:\.\d+){{0,3}})\.?\s*\S', 1) AS num, regexp_matches(t, '^\s*(\d+(?:\.\d+){{0,3}})\.?\s*\S') AS numbered, NOT regexp_matches(t, '[.,;:]$') OR ends_with(t, '...') AS noend FROM k1),
 k3 AS (SELECT *, length(num) - length(replace(num, '.', '')) AS depth, words <= 14 AND ratio >= 1 AND (bold OR ratio >= 1.05) AS off FROM k2)
@@ -262,7 +271,7 @@ SELECT page_no, line_no, (CASE WHEN t = '' OR words > 16 THEN NULL WHEN regexp_m
   WHEN regexp_matches(t, '\p{{Lu}}') AND NOT regexp_matches(t, '\p{{Ll}}') AND words BETWEEN 2 AND 8 AND ratio >= 1 THEN 3 END)::INT AS level FROM k3""")
 def heading_levels(spark, sf):
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    w = F.array_join(F.slice(words, F.lit(1), F.col("line_no") % 11 + 1), " ")
+    w = F.array_join(words, " ")
     n = F.col("line_no").cast("string")
     k = F.col("line_no") % 9
     lines = docs(spark, sf).withColumn("w", w)
@@ -304,11 +313,13 @@ def paragraph_elements(spark, sf):
 
 @query()
 def table_rebuild(spark, sf):
-    """Every paragraph group's words as cells in columns of a fixed width."""
+    """Every paragraph group with each line's words dealt to three cells, in columns of a fixed width."""
     lines = docs(spark, sf).withColumn("pos", F.col("line_no") + 1).withColumn("para", F.floor(F.col("line_no") / 4))
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 3)
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    each = F.ceil(F.size(words) / 3).cast("int")
+    cells = F.filter(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.array_join(F.slice(words, i * each + 1, each), " ")), lambda t: t != "")
     cell = lambda w, i: F.struct(w, F.lit("Body"), F.lit(11.0), F.lit(0), F.lit(0), F.struct(72.0 + 90.0 * i, F.lit(0.0), 130.0 + 90.0 * i, F.lit(12.0)), F.struct(72.0 + 90.0 * i, F.lit(12.0))).cast(S.SPAN)
-    made = G.tables(lines.withColumn("spans", F.transform(words, cell)))
+    made = G.tables(lines.withColumn("spans", F.transform(cells, cell)))
     return made.select("book_id", "page_no", "para", F.to_json("table_rows").alias("cells"))
 
 
@@ -355,14 +366,12 @@ def drop_contents_pages(spark, sf):
     return W.drop_pages(_page_elements(spark, sf), O.classify_pages(lines, T.body_size(lines))).select("book_id", "page_no", "ord")
 
 
-@query(f"""WITH {DL}, {FRAGMENTS.replace("CASE WHEN line_no % 3 = 0 THEN ' b' ELSE '' END", "CASE WHEN line_no = 3 THEN ' contents' ELSE '' END").replace("12::DOUBLE * (length(text) % 30)", "30::DOUBLE * (length(text) % 7)")}, {COLUMNS_SQL},
+@query(f"""WITH {DL}, {FRAGMENTS.replace("CASE WHEN (line_no + i) % 3 = 0 THEN ' b' ELSE '' END", "CASE WHEN line_no = 3 AND i = 0 THEN ' contents' ELSE '' END").replace("12::DOUBLE * ((length(w) + i) % 30)", "30::DOUBLE * ((length(w) + i) % 7)")}, {COLUMNS_SQL},
 s AS (SELECT book_id, page_no, count(*) AS n, sum(len(string_split_regex(t, '\\s+')))::DOUBLE / count(*) AS aw, list_sort(list(length(t)))[count(*) // 2 + 1] AS um, bool_or(regexp_matches(t, '(?i)\\bcontents\\b')) AS key FROM f WHERE page_no < 25 GROUP BY ALL)
 SELECT book_id, page_no FROM s JOIN cc USING (book_id, page_no) WHERE n >= 10 AND aw < 3.5 AND um < 30 AND columns BETWEEN 2 AND 12 AND key""")
 def headless_contents(spark, sf):
-    lines = docs(spark, sf).where(X.strip(F.col("text")) != "")
-    word = F.get(F.split(X.strip(F.col("text")), r"\s+"), F.lit(0))
-    lines = lines.withColumn("x0", 30.0 * (F.length("text") % 7)).withColumn("text", F.concat(word, F.when(F.col("line_no") == 3, " contents").otherwise("")))
-    return O.headless_contents(lines)
+    lines = _fragments(spark, sf).withColumn("x0", 30.0 * ((F.length("w") + F.col("i")) % 7))
+    return O.headless_contents(lines.withColumn("text", F.concat("w", F.when((F.col("line_no") == 3) & (F.col("i") == 0), " contents").otherwise(""))))
 
 
 # --- chapters ----------------------------------------------------------------------------------------
@@ -521,12 +530,12 @@ def embedded_markers(spark, sf):
 n1 AS (SELECT *, line_no % 3 = 0 AND line_no // 3 + 1 < 1000 AND NOT regexp_matches(regexp_replace(t, '^\s*\d{{1,3}}[.)]?\s*', ''), '^\s*[,;:.)\-]') AS o FROM n0),
 n2 AS (SELECT *, sum(o::INT) OVER (PARTITION BY book_id, page_no ORDER BY line_no) AS k FROM n1)
 SELECT page_no, k::INT - 1 AS ord, regexp_extract(min(CASE WHEN o THEN t END), '^(\d+)', 1) AS label, regexp_replace(trim(string_agg(CASE WHEN o THEN regexp_replace(t, '^\d{{1,3}}[.)]?\s*', '') ELSE t END, ' ' ORDER BY line_no)), '  +', ' ', 'g') AS text
-FROM n2 WHERE k > 0 AND page_no NOT IN (SELECT page_no FROM dl GROUP BY page_no HAVING max(line_no) < 1) GROUP BY book_id, page_no, k""")
+FROM n2 WHERE k > 0 GROUP BY book_id, page_no, k""")
 def parse_notes_hanging(spark, sf):
     t = X.strip(F.col("text"))
     opens = F.col("line_no") % 3 == 0
     text = F.when(opens, F.concat((F.floor(F.col("line_no") / 3) + 1).cast("string"), F.lit(" "), t)).otherwise(t)
-    lines = docs(spark, sf).where(t != "").withColumn("many", F.max("line_no").over(Window.partitionBy("book_id", "page_no"))).where("many >= 1")
+    lines = docs(spark, sf).where(t != "")
     lines = relined(lines, text=text, x0=F.when(opens, 72.0).otherwise(90.0)).withColumn("pos", F.col("line_no") + 1)
     return N.parse_notes(lines).select("page_no", "ord", "label", "text")
 
@@ -589,22 +598,14 @@ def _words(lines: DataFrame, text: Column) -> DataFrame:
     rows = lines.select("book_id", "page_no", F.col("line_no").alias("own"), "y0", F.posexplode(parts).alias("k", "text"))
     x = 60.0 + 45.0 * F.col("k")
     y = F.col("y0") + (F.col("k") % 3)
-    return rows.select("book_id", "page_no", (F.col("own") * 10000 + F.col("k")).cast("int").alias("word_no"), "text", x.alias("x0"), y.alias("y0"), (x + 40.0).alias("x1"), (y + 12.0).alias("y1"))
+    return rows.select("book_id", "page_no", (F.shiftleft(F.col("own").cast("long"), 32) + F.col("k")).alias("word_no"), "text", x.alias("x0"), y.alias("y0"), (x + 40.0).alias("x1"), (y + 12.0).alias("y1"))
 
 
-@query(rf"""WITH {DL}, ln AS (SELECT * FROM dl WHERE page_no % 5 = 0 AND line_no < 40), w0 AS (SELECT page_no, line_no, y0, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:8]) AS text, unnest(range(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:8]))) AS k FROM ln),
-w1 AS (SELECT page_no, (line_no * 10000 + k)::INT AS word_no, 60 + 45::DOUBLE * k AS x0, y0 + k % 3 AS y0 FROM w0),
-w2 AS (SELECT w1.page_no, word_no, ln.line_no, CASE WHEN w1.x0 + 20 BETWEEN ln.x0 AND ln.x1 THEN 0 ELSE least(abs(w1.x0 + 20 - ln.x0), abs(w1.x0 + 20 - ln.x1)) END AS gap, least(w1.y0 + 12, ln.y1) - greatest(w1.y0, ln.y0) AS ov FROM w1 JOIN ln ON ln.page_no = w1.page_no AND w1.y0 + 6 BETWEEN ln.y0 - 3 AND ln.y1 + 3)
-SELECT page_no, word_no, line_no FROM w2 QUALIFY row_number() OVER (PARTITION BY page_no, word_no ORDER BY gap, ov DESC, line_no) = 1""")
+@query(rf"""WITH {DL}, w0 AS (SELECT book_id, page_no, line_no, y0, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS text, unnest(range(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')))) AS k FROM dl),
+w1 AS (SELECT book_id, page_no, line_no::BIGINT * 4294967296 + k AS word_no, 60 + 45::DOUBLE * k AS x0, y0 + k % 3 AS y0 FROM w0),
+w2 AS (SELECT w1.book_id, w1.page_no, word_no, dl.line_no, CASE WHEN w1.x0 + 20 BETWEEN dl.x0 AND dl.x1 THEN 0 ELSE least(abs(w1.x0 + 20 - dl.x0), abs(w1.x0 + 20 - dl.x1)) END AS gap, least(w1.y0 + 12, dl.y1) - greatest(w1.y0, dl.y0) AS ov FROM w1 JOIN dl ON dl.book_id IS NOT DISTINCT FROM w1.book_id AND dl.page_no = w1.page_no AND w1.y0 + 6 BETWEEN dl.y0 - 3 AND dl.y1 + 3)
+SELECT page_no, word_no, line_no FROM w2 QUALIFY row_number() OVER (PARTITION BY book_id, page_no, word_no ORDER BY gap, ov DESC, line_no) = 1""")
 def nearest_line_join(spark, sf):
-    """Words of every fifth page's first lines, eight a line: the input of this query, not a limit of the operator."""
-    lines = docs(spark, sf).where("page_no % 5 = 0 and line_no < 40")
-    words = _words(lines, F.col("text")).where("word_no % 10000 < 8")
-    return R.words_to_lines(words, lines).select("page_no", "word_no", "line_no")
-
-
-@query()
-def nearest_line_join_whole(spark, sf):
     """All words of every line of all documents, each with its nearest line."""
     lines = docs(spark, sf)
     return R.words_to_lines(_words(lines, F.col("text")), lines).select("page_no", "word_no", "line_no")

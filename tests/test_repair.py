@@ -8,8 +8,14 @@ from tests.helpers import line, lines, span
 WORDS = frozenset("bisericii academice rugându actualitate și pre teologia complicată compli adică descoperă ediţiile cată tainic toate".split())
 
 
-def known(word):
-    return len(word) >= 2 and word.lower() in WORDS
+def swapped(spark, old, new, replaced=False):
+    """Swaps between two readings. replaced: one stands for the other as a whole."""
+    lexicon = spark.createDataFrame([("ro", w) for w in WORDS], "lang string, word string")
+    if replaced:
+        places = spark.createDataFrame([(0, 0, old, new)], "line int, ord int, was array<string>, now array<string>")
+    else:
+        places = R.differences(spark.createDataFrame([(0, old, new)], "line int, old array<string>, new array<string>"))
+    return [(r.old, r.new) for r in R.swaps(places, lexicon).orderBy("ord").collect()]
 
 
 @pytest.mark.parametrize("old,new,want", [
@@ -17,16 +23,16 @@ def known(word):
     ("rugăndu-se,", "rugându-se,", "rugându-se,"), ("compli-", "compli", None), (".iradcmice-", "academice", "academice-"), ("ACTUALn'ATE", "ACTUALITATE", "ACTUALITATE"), ("111-a,", "111-III,", None),
     ("<·<", "pre", "pre"), ("1Adicx", "Adică", None), ("1Adicx", "1Adică", "1Adică"), (".1", "și", "și"), ("Npie", "“pre", "pre"),
 ])
-def test_choose_token(old, new, want):
-    assert R.choose_token(old, new, known) == want
+def test_one_word_for_one(spark, old, new, want):
+    assert swapped(spark, [old], [new], replaced=True) == ([(old, want)] if want else [])
 
 
 @pytest.mark.parametrize("old,new,want", [
     ("«It scoperă tainic toate", "descoperă tainic toate", [("«It scoperă", "descoperă")]), ("teologia xqzz", "academice", []), ("xqzz wvqq", "", []), ("Bisericii xqzz", "Bisericii", []),
     ("1 F.diţiile", "Ediţiile", []), ("1 F.diţiile", "1 Ediţiile", [("F.diţiile", "Ediţiile")]), ("i .it«1,", "cată,", [("i .it«1,", "cată,")]),
 ])
-def test_token_repairs(old, new, want):
-    assert R.token_repairs(old.split(), new.split(), known) == want
+def test_runs_of_words(spark, old, new, want):
+    assert swapped(spark, old.split(), new.split()) == want
 
 
 def test_words_to_lines(spark):

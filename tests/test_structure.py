@@ -176,13 +176,17 @@ def test_kinds(spark):
     assert {r.kind for r in general} == {"paragraph", "heading"}
 
 
-def test_tables():
+def test_tables(spark):
     rows = [[(72, "Name"), (200, "Size")], [(73, "a"), (201, "1")], [(72, "b"), (199, "2")]]
-    assert G.table_rows(rows) == [["Name", "Size"], ["a", "1"], ["b", "2"]]
-    assert G.table_rows(rows[:2]) is None
-    assert G.table_rows([[(72, "x")] * 1, *rows]) is None
-    assert G.table_rows([[(72, "w " * 13), (200, "w " * 13)]] * 3) is None
-    assert G.table_rows([[(72 + 20 * i, "a"), (200 + 20 * i, "b")] for i in range(3)]) is None
+    cases = [
+        (rows, [["Name", "Size"], ["a", "1"], ["b", "2"]]), (rows[:2], None), ([[(72, "x")] * 1, *rows], None), ([[(72, "w " * 13), (200, "w " * 13)]] * 3, None),
+        ([[(72 + 20 * i, "a"), (200 + 20 * i, "b")] for i in range(3)], None),
+        ([*rows, [(72, "c"), (200, "3"), (330, "note")]], None), ([*rows[:2], [(72, "a  b"), (74, "c")], rows[2]], None),
+        ([*rows, [(72, "x"), (200, "")], rows[0]], [["Name", "Size"], ["a", "1"], ["b", "2"], ["x", ""], ["Name", "Size"]]),
+    ]
+    df = spark.createDataFrame([(k, [[(float(x), t) for x, t in line] for line in ls]) for k, (ls, _) in enumerate(cases)], "k int, ls array<array<struct<x: double, t: string>>>")
+    got = {r.k: r.table_rows for r in G.table_rows(df).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases) if want}
 
 
 def test_table_elements(spark):
