@@ -1,14 +1,17 @@
 """Main text of HTML pages: flat text blocks classified by a decision tree over word counts and link densities.
 
-A page is read as a flat list of text blocks, one for each stretch between block-level tags. Every block carries the
-word count and link density of itself and of its neighbours, and a count of enclosing elements that mark page furniture.
-A small decision tree, trained here on a labelled table of such blocks, decides which blocks are main text.
+A page is read as a flat list of text blocks, one for each stretch between block-level tags, in one pass over the page
+whose cost is linear in its length. Every block carries the word count and link density of itself and of its neighbours,
+a count of enclosing elements that mark page furniture, and whether it stands in the page's article. A small decision
+tree, trained here on the labelled blocks of a table of page layouts, decides which blocks are main text. Where a page
+marks its article, that decides most; where it does not, words, links and neighbours do.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>=]")
+_QUOTE = re.compile(r"\s*([\"'])")
+#: Elements nested deeper than this are read as standing beside one another, as browsers do.
+MAX_DEPTH = 512
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noframes", "svg", "math", "template")}
 
@@ -114,12 +122,25 @@ def _settle(found: list[Block]) -> None:
         b.furniture += sum(e not in around for e in b.loose)
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The place of the > that ends a tag, or -1. Quotes count after = only, and only if they are closed (last: where each quote last stands)."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        q = _QUOTE.match(page, at)
+        if q and last[q[1]] >= q.end():
+            at = page.index(q[1], q.end()) + 1
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; unclosed and stray tags are read as browsers do, in outline."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()
     loose: list[int] = []
     titles: list[int] = []
     furniture = in_main = anchors = hidden = elements = 0
@@ -134,7 +155,8 @@ def blocks(page: str) -> list[Block]:
 
     def pop() -> None:
         nonlocal furniture, in_main, anchors, hidden
-        tag, was_furniture, _ = stack.pop()
+        tag, was_furniture = stack.pop()
+        open_[tag] -= 1
         if tag not in INLINE:
             flush()
         furniture -= was_furniture == FIRM
@@ -154,23 +176,31 @@ def blocks(page: str) -> list[Block]:
 
     at = 0
     n = len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            # a tag cut off by the end of the page is no text
-            cut = re.search(r"<[/!a-zA-Z][^>]*\Z", rest)
-            text(rest[: cut.start()] if cut else rest)
+        start = page.find("<", at)
+        text(page[at:start] if start >= 0 else page[at:])
+        if start < 0:
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if m := _MARK.match(page, start):
             if m[0].startswith("<![CDATA["):
                 text(html.escape(m[0][9:].removesuffix("]]>")))
+            at = m.end()
+            continue
+        m = _NAME.match(page, start)
+        if m is None:
+            # </ before what is no name begins a comment that ends at >
+            at = page.find(">", start) + 1 or n if page.startswith("</", start) else start + 1
+            if at == start + 1:
+                text("<")
             continue
+        end = _tag_end(page, m.end(), last)
+        if end < 0:  # a tag cut off by the end of the page is no text
+            break
+        attributes, at = page[m.end() : end], end + 1
         tag = m[2].lower()
         if m[1]:
-            if any(s[0] == tag for s in stack):
+            if open_[tag]:
                 if tag in INLINE:
                     # an inline end tag does not close the blocks opened inside it
                     for i in range(len(stack) - 1, -1, -1):
@@ -180,7 +210,9 @@ def blocks(page: str) -> list[Block]:
                                     pop()
                             else:
                                 anchors -= tag == "a"
-                                stack[i] = ("span", stack[i][1], stack[i][2])
+                                open_[tag] -= 1
+                                open_["span"] += 1
+                                stack[i] = ("span", stack[i][1])
                             break
                 else:
                     while stack[-1][0] != tag:
@@ -208,10 +240,13 @@ def blocks(page: str) -> list[Block]:
             close = page.find(">", end.start()) if end else -1
             at = n if close < 0 else close + 1
             continue
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path", "use"):
+        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "use"):
             continue
-        is_furniture = _furniture(tag, m[3], in_main)
-        stack.append((tag, is_furniture, False))
+        if len(stack) >= MAX_DEPTH:
+            pop()
+        is_furniture = _furniture(tag, attributes, in_main)
+        stack.append((tag, is_furniture))
+        open_[tag] += 1
         furniture += is_furniture == FIRM
         if is_furniture == LOOSE:
             elements += 1
@@ -229,7 +264,8 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> np.ndarray:
     """One row of FEATURES for each block; beyond the ends stand empty blocks.
 
-    A page without article or main counts as all main, and so does one that has only furniture in them.
+    in_main is 1 in the page's article or main element and 0 beside it. Where a page has none, or only furniture in it, it
+    is 0.5 for all blocks.
     """
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
@@ -240,35 +276,78 @@ def features(found: list[Block]) -> np.ndarray:
     x[:, 0], x[:, 1] = w, d
     x[1:, 2], x[1:, 3] = w[:-1], d[:-1]
     x[:-1, 4], x[:-1, 5] = w[1:], d[1:]
-    x[:, 6] = [b.furniture for b in found]
-    inside = [b.in_main for b in found]
-    x[:, 7] = inside if any(b.in_main and not b.furniture for b in found) else 1
+    x[:, 6] = [min(b.furniture, 1) for b in found]
+    x[:, 7] = [min(b.in_main, 1) for b in found] if any(b.in_main and not b.furniture for b in found) else 0.5
     return x
 
 
-# Labelled blocks: the eight features and 1 for main text. Hand-written from ordinary page layouts: article paragraphs
-# and headings, one-word paragraphs, link lists and related links in the article, menus, adverts, footers, comment boxes.
-LABELLED = np.array([
-    [9, 0, 0, 0, 60, 0, 0, 1, 1], [60, 0, 9, 0, 80, 0, 0, 1, 1], [80, 0, 60, 0, 1, 0, 0, 1, 1], [1, 0, 80, 0, 40, 0, 0, 1, 1],
-    [2, 0, 40, 0, 12, 0, 0, 1, 1], [40, .05, 2, 0, 30, 0, 0, 1, 1], [30, .1, 40, .05, 3, 0, 0, 1, 1], [25, .3, 30, .1, 50, 0, 0, 1, 1],
-    [12, .25, 25, .3, 9, 0, 0, 1, 1], [150, .02, 3, 0, 4, 0, 0, 1, 1], [4, 0, 150, .02, 0, 0, 0, 1, 1], [7, 0, 4, 1, 90, 0, 0, 1, 1],
-    [1, 0, 1, 0, 1, 0, 0, 1, 1], [1, 0, 0, 0, 0, 0, 0, 1, 1], [3, 0, 1, 0, 2, 0, 0, 1, 1], [18, .4, 33, 0, 21, 0, 0, 1, 1],
-    [6, 0, 90, 0, 3, 1, 0, 1, 1], [55, .45, 20, 0, 18, 0, 0, 1, 1], [200, 0, 5, 0, 5, 0, 0, 1, 1], [14, 0, 6, 1, 70, 0, 0, 1, 1],
-    [2, 1, 60, 0, 3, 1, 0, 1, 0], [3, 1, 2, 1, 4, 1, 0, 1, 0], [4, 1, 3, 1, 0, 0, 0, 1, 0], [5, 1, 5, 1, 70, 0, 0, 1, 0],
-    [8, .9, 30, 0, 7, 1, 0, 1, 0], [7, 1, 8, .9, 12, 0, 0, 1, 0], [12, .8, 4, 1, 5, 1, 0, 1, 0], [20, .7, 3, 1, 6, 1, 0, 1, 0],
-    [1, 1, 0, 0, 1, 1, 1, 0, 0], [1, 1, 1, 1, 1, 1, 2, 0, 0], [1, 1, 1, 1, 7, 0, 1, 0, 0], [7, 0, 1, 1, 9, 0, 1, 0, 0],
-    [40, 0, 1, 1, 9, 0, 1, 0, 0], [60, 0, 30, 0, 40, 0, 1, 0, 0], [25, 0, 4, 0, 30, 0, 1, 1, 0], [3, 0, 60, 0, 25, 0, 1, 1, 0],
-    [90, 0, 25, 0, 12, 0, 2, 1, 0], [12, 0, 90, 0, 0, 0, 1, 0, 0], [6, .3, 12, 0, 0, 0, 1, 0, 0], [15, .5, 70, 0, 0, 0, 1, 0, 0],
-    [2, 0, 2, 1, 3, 0, 1, 1, 0], [1, 0, 80, 0, 0, 0, 1, 1, 0], [120, .01, 12, 0, 110, 0, 1, 0, 0], [18, 0, 120, 0, 5, 1, 3, 0, 0],
-    [8, 0, 3, 1, 0, 0, 0, 0, 0], [4, 0, 0, 0, 2, 1, 0, 0, 0], [2, 1, 4, 0, 3, 1, 0, 0, 0], [14, 0, 80, 0, 0, 0, 0, 0, 0],
-    [35, 0, 6, 1, 20, 0, 0, 0, 0], [70, .1, 2, 0, 9, 0, 0, 0, 0], [10, 1, 10, 1, 10, 1, 0, 0, 0], [5, .6, 14, 0, 3, 1, 0, 0, 0],
-])
+# Labelled blocks, as layouts of ordinary pages. A line is markup, or a block: 1 for main text or 0, its element, its
+# words and how many of them are linked. Pages with an article or main element, pages without, pages without any names.
+LAYOUTS = """
+<nav> / 0 li 1 1 / 0 li 2 2 / 0 li 1 1 / </nav><article> / 1 h1 7 0 / 0 div.share 3 3 / 1 p 60 2 / 1 p 1 0 / 1 p 35 0 / 1 h2 3 0 / 1 li 6 6 / 1 li 9 9 / 1 li 4 0 / 1 p 80 4 / 0 div.related 5 5 / </article> / 0 footer 12 3
+<header> / 0 p 4 4 / </header><main> / 1 h1 2 0 / 1 p 3 0 / 1 p 2 2 / 1 p 14 0 / 1 td 1 0 / 1 td 2 0 / 1 p 22 11 / </main><aside> / 0 p 40 0 / 0 p 25 3 / </aside> / 0 div 30 0 / 0 div 6 6
+<div> / 0 div 25 1 / 0 p 6 1 / </div><article> / 1 p 120 0 / 1 p 70 9 / 0 div.ad 20 0 / 1 p 2 0 / </article><section> / 0 h3 1 0 / 0 p 45 0 / 0 p 80 0 / </section>
+<nav> / 0 a 1 1 / 0 a 1 1 / </nav><main><article> / 1 h1 9 0 / 1 li 1 1 / 1 li 2 2 / 1 li 1 1 / 1 p 5 5 / 0 form 8 0 / 0 nav 2 2 / </article></main> / 0 p 50 0
+0 div 14 2 / 0 li 1 1 / 0 li 1 1 / 0 li 2 2 / 0 li 1 1 / 1 h1 8 0 / 1 p 70 0 / 1 p 45 3 / 1 h2 4 0 / 1 p 90 1 / 1 p 12 0 / 1 p 55 0 / 0 li 6 6 / 0 li 7 7 / 0 li 5 5 / 0 p 9 0 / 0 p 5 2
+0 p 10 0 / 0 a 2 2 / 0 a 1 1 / 1 h1 5 0 / 1 p 40 0 / 1 p 30 2 / 1 p 8 0 / 1 p 65 0 / 0 div.comments 30 0 / 0 div.comments 60 0 / 0 p 7 4
+0 div 22 1 / 0 div 1 1 / 0 div 3 3 / 0 div 2 2 / 1 h2 6 0 / 1 div 33 0 / 1 div 48 6 / 1 h3 2 0 / 1 div 28 0 / 0 div 4 4 / 0 div 3 3 / 0 div 6 1
+0 td 2 2 / 0 td 3 3 / 0 td 1 1 / 0 td 4 4 / 1 td 85 2 / 1 td 60 0 / 1 td 110 8 / 0 td 3 3 / 0 td 2 2 / 0 td 8 0
+0 span 3 1 / 0 div 18 1 / 0 li 2 2 / 0 li 2 2 / 1 h1 11 0 / 1 p 26 0 / 1 p 18 0 / 1 p 37 5 / 1 p 24 0 / 1 li 10 0 / 1 li 14 0 / 1 li 9 0 / 1 p 31 0 / 0 p 6 3 / 0 p 4 4 / 0 p 3 0
+<div.sidebar> / 0 p 30 0 / 0 li 3 3 / 0 p 60 2 / </div> / 1 h1 4 0 / 1 p 52 0 / 1 blockquote 16 0 / 1 p 44 1 / <footer> / 0 p 20 0 / 0 p 35 4 / </footer>
+1 p 4 0 / 1 p 9 0 / 1 p 6 0 / 1 p 11 0
+1 h1 3 0 / 1 p 25 0
+0 li 1 1 / 0 li 1 1 / 0 li 3 3 / 0 li 2 2
+1 p 75 0 / 1 p 42 2 / 1 p 130 0
+1 p 12 0
+1 p 1 0
+<article> / 1 p 1 0
+<article> / 1 p 20 8 / 1 p 50 0 / 1 p 25 10 / </article>
+<article> / 1 p 3 1 / 1 p 40 0 / 1 p 2 1 / 1 p 60 2 / </article>
+<article> / 1 h2 6 2 / 1 p 90 3 / </article>
+<main> / 1 h1 8 0 / 1 p 18 2 / 1 p 14 0 / </main>
+<article> / 1 h1 3 0 / 1 p 16 0 / 1 p 28 1 / </article>
+1 h1 6 0 / 1 p 18 0 / 1 p 30 0
+<article> / 1 p 1 0 / 1 p 1 0 / </article>
+<main> / 1 h1 2 0 / 1 p 30 12 / </main> / 0 li 2 2
+<main> / 1 p 3 1 / 1 p 9 4 / 1 p 14 7 / </main> / 0 p 30 2
+<article> / 1 p 7 3 / 1 p 5 2 / 1 li 8 3 / 1 li 12 5 / 1 li 9 4 / </article> / 0 p 3 0
+<article> / 1 p 8 8 / </article> / 0 p 8 8 / 0 p 12 0
+0 li 1 1 / 0 li 2 2 / 0 li 1 1 / 1 h1 5 0 / 1 p 60 20 / 1 p 48 15 / 1 p 33 14 / 1 p 90 12 / 1 p 41 17 / 1 p 25 9 / 1 p 55 9 / 0 li 5 5 / 0 li 6 5 / 0 li 7 6 / 0 p 3 2
+0 p 5 5 / 0 p 4 3 / 1 h1 4 0 / 1 p 36 6 / 1 p 70 24 / 1 p 29 5 / 1 p 44 0 / 0 p 6 2 / 0 p 4 4 / 0 p 9 3
+0 p 16 1 / 0 li 1 1 / 0 li 2 2 / 1 h1 6 0 / 1 p 21 0 / 1 p 3 0 / 1 p 50 0 / 1 p 2 0 / 1 p 34 0 / 0 li 4 4 / 0 li 8 8 / 0 p 11 2
+"""
+
+
+def _layout(line: str) -> tuple[str, list[int]]:
+    """A page of LAYOUTS and the labels of its blocks. name.class: an element with a class."""
+    parts, labels = [], []
+    for item in line.split(" / "):
+        if item.startswith("<"):
+            parts.append(re.sub(r"<(\w+)\.(\w+)>", r"<\1 class='\2'>", item))
+            continue
+        label, tag, words, linked = item.split()
+        tag, _, name = tag.partition(".")
+        labels.append(int(label))
+        parts.append(f"<div><{tag} class='{name}'><a>{'x ' * int(linked)}</a>{'x ' * (int(words) - int(linked))}</{tag}></div>")
+    return "".join(parts), labels
+
+
+def labelled(layouts: str = LAYOUTS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the layouts."""
+    xs, ys = [], []
+    for line in layouts.strip().split("\n"):
+        page, labels = _layout(line)
+        x = features(blocks(page))
+        assert len(x) == len(labels), line
+        xs.append(x)
+        ys += labels
+    return np.concatenate(xs), np.array(ys)
 
 
 class Tree:
     """A binary decision tree: Gini splits, grown until leaves are pure or depth is reached."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10):
         self.label = bool(y.mean() >= 0.5)
         self.feature: int | None = None
         if depth == 0 or y.min() == y.max():
@@ -300,10 +379,16 @@ class Tree:
         out[left], out[~left] = self.low.predict(x[left]), self.high.predict(x[~left])
         return out
 
+    def rules(self, indent: str = "") -> str:
+        if self.feature is None:
+            return f"{indent}{'main' if self.label else 'no'}\n"
+        at = f"{FEATURES[self.feature]} <= {self.cut:g}"
+        return f"{indent}if {at}\n{self.low.rules(indent + '  ')}{indent}else\n{self.high.rules(indent + '  ')}"
+
 
 @lru_cache(1)
 def trained() -> Tree:
-    return Tree(LABELLED[:, :-1], LABELLED[:, -1])
+    return Tree(*labelled())
 
 
 def main_text(page: str | None, tree: Tree | None = None) -> str:

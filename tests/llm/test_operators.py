@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm.decontamination import clean, contaminated
-from quire.llm.html_text import Tree, extract, main_text
+from quire.llm.html_text import LAYOUTS, Tree, extract, labelled, main_text, trained
 from quire.llm.language_id import held_out, identify
 from quire.llm.media import media_columns
 from quire.llm.mixing import _quotas, apportion, mix, mixed, targets
@@ -95,6 +96,43 @@ def test_html_rows(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+#: Layouts that the tree has not seen, in the form of LAYOUTS.
+HELD_OUT = """
+<nav> / 0 li 2 2 / 0 li 1 1 / </nav><article> / 1 h1 6 0 / 1 p 48 1 / 1 li 3 3 / 1 li 5 5 / 1 p 2 0 / 0 div.ad 12 0 / 1 p 77 0 / </article> / 0 p 30 0 / 0 footer 9 1
+<main> / 1 h1 5 0 / 1 p 15 0 / 1 p 64 20 / 0 form 6 0 / </main> / 0 div 40 3
+0 div 19 1 / 0 li 1 1 / 0 li 1 1 / 0 li 2 2 / 1 h1 7 0 / 1 p 58 0 / 1 p 39 4 / 1 h2 3 0 / 1 p 71 0 / 1 p 47 2 / 0 li 4 4 / 0 li 6 6 / 0 li 5 5 / 0 p 8 4
+0 a 1 1 / 0 a 2 2 / 1 h1 9 0 / 1 div 42 0 / 1 div 36 7 / 1 div 81 2 / 0 div.comments 22 0 / 0 div.comments 51 0
+1 p 66 0 / 1 p 31 1
+<div.sidebar> / 0 p 44 0 / </div><article> / 1 p 3 0 / 1 p 18 0 / </article>
+"""
+
+
+def test_held_out_layouts():
+    x, y = labelled(HELD_OUT)
+    right = trained().predict(x) == y
+    rules = trained().rules()
+    assert right.mean() >= 0.95 and all(name in rules for name in ("words <=", "words_after <=", "density <="))
+    assert len(labelled()[1]) >= 150 and not {*HELD_OUT.split("\n")} & {*LAYOUTS.split("\n")} - {""}
+
+
+def test_pages_without_names_or_article():
+    text = "word " * 40
+    page = f"<div>We use cookies on all of our pages, see <a href=x>the rules</a> for more.</div><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><h1>A title of some words</h1><p>{text}</p><p>{text}</p><p>{text}</p><ul><li><a>More of this</a><li><a>And more of that</a></ul>"
+    assert main_text(page) == "\n\n".join(["A title of some words", *[text.strip()] * 3])
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a ='", '<a ="', "<b>", "<p>", "<", "</", "<x = ", "<li><b>", "<!--", "&"])
+def test_hostile_pages_take_linear_time(part):
+    start = time.process_time()
+    main_text(part * (500_000 // len(part)) + "x" + "</i>" * 100_000)
+    assert time.process_time() - start < 6
+
+
+def test_very_long_page():
+    words = " ".join(f"w{i}" for i in range(200_000))
+    assert main_text(f"<nav><a>x</a></nav><article><p>{words}</p></article>") == words
+
+
 def test_tree():
     x = np.array([[0, 1], [1, 1], [0, 0], [1, 0]], float)
     y = np.array([0, 1, 0, 1])
