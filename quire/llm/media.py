@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.common import text_bytes
-from quire.llm.webp import MAX_SIDE, decode, encode_even
+from quire.llm.webp import MAX_SIDE, decode, encode_stored
 
 UNIT = 576
 PIXELS = UNIT // 4
@@ -26,7 +26,7 @@ def padded(payload: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """A padded payload as images 144 pixels wide, one row for each unit; payloads beyond 16,384 rows take several files."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, 4)
-    return b"".join(encode_even(rows[i : i + MAX_SIDE]) for i in range(0, len(rows), MAX_SIDE))
+    return b"".join(encode_stored(rows[i : i + MAX_SIDE]) for i in range(0, len(rows), MAX_SIDE))
 
 
 def load(media: bytes) -> np.ndarray:

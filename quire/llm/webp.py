@@ -2,14 +2,20 @@
 
 Decoding covers prefix codes (simple and normal, in groups chosen by an entropy image), back-references with the
 two-dimensional distance codes, the colour cache, and the inverse predictor, cross-colour, subtract-green and palette
-transforms. Images whose symbols all have codes of one length by channel are decoded with array operations; others
+transforms. Where one group of codes holds for the whole image, array operations read at every bit what pixel would begin
+there and how long it is, and the pixels are the chain from the first bit on; images with several groups are decoded
 symbol by symbol. Pixels are rows of (alpha, red, green, blue).
+
+`encode_stored` writes the files of the media column: of several transforms the one that the data make cheapest, colour
+cache, back-references and prefix codes of unequal length, which are two fixed sets (of bytes of text, and of small
+differences), so that no codes need be made or read for each of many small images.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -21,7 +27,6 @@ PREDICTOR, CROSS, GREEN, PALETTE = 0, 1, 2, 3
 #: Short distances in order of nearness: pixels of the same and the seven earlier rows.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 LITERALS, LENGTHS, DISTANCES = 256, 24, 40
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 
 class Reader:
@@ -61,12 +66,25 @@ class Code:
                 self.codes[s] = code
                 self.table[last, code] = s
                 code += 1
-        width = {lengths[s] for s in used} if self.single is None else {0}
-        self.width = width.pop() if len(width) == 1 else None
-        if self.width is not None and self.width <= 8:
-            self.symbols = np.zeros(1 << self.width, np.int64)
-            for s in used:
-                self.symbols[self.codes.get(s, 0)] = s
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and code length by the next 15 bits, least significant first."""
+        symbols, lengths = np.zeros(1 << 15, np.uint16), np.zeros(1 << 15, np.uint8)
+        if self.single is not None:
+            symbols[:] = self.single
+        for (n, code), s in self.table.items():
+            at = int(f"{code:0{n}b}"[::-1], 2)
+            symbols[at :: 1 << n] = s
+            lengths[at :: 1 << n] = n
+        return symbols, lengths
+
+    @cached_property
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bits to write by symbol, least significant first, and their number."""
+        bits = np.zeros(len(self.lengths), np.int64)
+        for s, code in self.codes.items():
+            bits[s] = int(f"{code:0{self.lengths[s]}b}"[::-1], 2)
+        return bits, np.array(self.lengths, np.int64)
 
     def read(self, r: Reader) -> int:
         if self.single is not None:
@@ -151,9 +169,8 @@ def _decode_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray
         groups = (entropy[..., 1].astype(int) << 8) | entropy[..., 2]
     codes = [_read_group(r, cache_bits) for _ in range(1 if groups is None else int(groups.max()) + 1)]
     n = width * height
-    g, *rest, distance = codes[0]
-    if groups is None and not cache_bits and all(c.width is not None and c.width <= 8 for c in (g, *rest)) and (g.single if g.single is not None else int(g.symbols.max())) < LITERALS:
-        return _decode_even(r, n, codes[0][:4]).reshape(height, width, 4)
+    if groups is None:
+        return _decode_chain(r, n, width, codes[0], cache_bits).astype(">u4").view(np.uint8).reshape(height, width, 4)
     out = np.zeros((n, 4), np.uint8)
     cache = np.zeros(1 << cache_bits, np.uint32) if cache_bits else None
 
@@ -187,30 +204,94 @@ def _decode_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray
     return out.reshape(height, width, 4)
 
 
-def _decode_even(r: Reader, n: int, codes: list[Code], step: int = 1 << 16) -> np.ndarray:
-    """Pixels whose codes have one length in each channel: their bits lie in equal rows."""
-    widths = [c.width for c in codes]
-    total = sum(widths)
-    out = np.empty((n, 4), np.uint8)
-    raw = np.frombuffer(r.data, np.uint8)
-    for i in range(0, n, step):
-        m = min(step, n - i)
-        first = r.pos + i * total
-        chunk = raw[first >> 3 : (first + m * total + 7) >> 3]
-        bits = np.unpackbits(chunk, bitorder="little")[first & 7 :][: m * total]
-        if len(bits) < m * total:
+#: Bytes that array operations of the decoder work on at a time, and bits that one pixel or copy can take at most.
+SLAB, LONGEST = 1 << 16, 96
+
+
+def _values(prefixes: np.ndarray, at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix symbols whose extra bits begin at the bits `at` of raw, and how many extra bits they have."""
+    extra = np.where(prefixes < 4, 0, prefixes - 2 >> 1)
+    more = raw[(at >> 3)[:, None] + np.arange(4)].astype(np.int64) << np.arange(0, 32, 8)
+    bits = more.sum(axis=1) >> (at & 7) & (1 << extra) - 1
+    return np.where(prefixes < 4, prefixes + 1, (2 + (prefixes & 1) << extra) + bits + 1), extra
+
+
+def _decode_chain(r: Reader, n: int, width: int, codes: list[Code], cache_bits: int) -> np.ndarray:
+    """n pixels as numbers, read with one group of codes."""
+    whole = np.frombuffer(r.data, np.uint8)
+    (gs, gl), (rs, rl), (bs, bl), (as_, al), (ds, dl) = (c.tables for c in codes)
+    first_cached = LITERALS + LENGTHS
+    parts, i, plain = [], 0, True
+    while i < n:
+        base = r.pos >> 3
+        raw = whole[base : base + SLAB]
+        ends = base + SLAB >= len(whole)
+        raw = np.concatenate([raw, np.zeros(2 * LONGEST // 8, np.uint8)]) if ends else raw
+        wide = raw.astype(np.uint32)
+        wide[:-1] |= wide[1:] << 8
+        wide[:-2] |= (wide[2:] & 255) << 16
+        peek = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & 0x7FFF).ravel()
+        last = np.int32(len(peek) - 1)
+        g, length = gs[peek], gl[peek]
+        p1 = np.minimum(np.arange(len(peek), dtype=np.int32) + length, last)
+        p2 = np.minimum(p1 + rl[peek[p1]], last)
+        p3 = np.minimum(p2 + bl[peek[p2]], last)
+        then = p3 + al[peek[p3]]
+        run = np.ones(len(peek), np.int32)
+        copies = np.flatnonzero((g >= LITERALS) & (g < first_cached) & (p1 < len(peek) - LONGEST))
+        if len(copies):
+            run[copies], extra = _values(g[copies].astype(np.int64) - LITERALS, p1[copies], raw)
+            at = p1[copies] + extra
+            q = peek[at]
+            far = at + dl[q]
+            back, extra = _values(ds[q].astype(np.int64), far, raw)
+            then[copies] = far + extra
+        if cache_bits:
+            np.copyto(then, p1, where=g >= first_cached)
+        nexts, runs = memoryview(then), memoryview(run)
+        p, stop, spots = r.pos & 7, len(peek) - LONGEST, []
+        while i < n and p < stop:
+            spots.append(p)
+            i += runs[p]
+            p = nexts[p]
+        if not spots or (base << 3) + p > 8 * len(whole):
             raise ValueError("the image data end early")
-        bits = bits.reshape(m, total)
-        at = 0
-        for c, (code, w) in enumerate(zip(codes, widths, strict=True)):
-            slot = (2, 1, 3, 0)[c]
-            if w:
-                out[i : i + m, slot] = code.symbols[np.packbits(bits[:, at : at + w], axis=1)[:, 0] >> 8 - w]
-            else:
-                out[i : i + m, slot] = code.single
-            at += w
-    r.pos += n * total
-    return out
+        r.pos = (base << 3) + p
+        at = np.array(spots)
+        kind = g[at].astype(np.int64)
+        value = (as_[peek[p3[at]]].astype(np.int64) << 24) | (rs[peek[p1[at]]].astype(np.int64) << 16) | ((kind & 255) << 8) | bs[peek[p2[at]]]
+        distances = np.zeros(len(at), np.int64)
+        if len(copies):
+            which = np.flatnonzero((kind >= LITERALS) & (kind < first_cached))
+            distances[which] = back[np.searchsorted(copies, at[which])]
+        plain = plain and bool((kind < LITERALS).all())
+        parts.append((kind, value, run[at], distances))
+    kind, value, run, back = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return value[:n].astype(np.uint32) if plain else _expand(n, width, kind.tolist(), value.tolist(), run.tolist(), back.tolist(), cache_bits)
+
+
+def _expand(n: int, width: int, kinds: list[int], values: list[int], runs: list[int], backs: list[int], cache_bits: int) -> np.ndarray:
+    """Pixels from literals, copies and places of the colour cache."""
+    out: list[int] = []
+    shift, cache = 32 - cache_bits, [0] * (1 << cache_bits)
+    for kind, value, run, back in zip(kinds, values, runs, backs, strict=True):
+        if kind < LITERALS:
+            out.append(value)
+            new = (value,)
+        elif kind < LITERALS + LENGTHS:
+            start = len(out) - _distance(back, width)
+            if start < 0:
+                raise ValueError("a back-reference before the first pixel")
+            new = out[start : start + run]
+            new = (new * (run // len(new) + 1))[:run]
+            out += new
+        else:
+            out.append(cache[kind - LITERALS - LENGTHS])
+            continue
+        if cache_bits:
+            for v in new:
+                cache[(v * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = v
+    return np.array(out[:n], np.uint32)
 
 
 def _average(a, b):
@@ -249,6 +330,16 @@ def _neighbours(x: np.ndarray, i: int, j: int):
     return x[i, j - 1], x[i - 1, j], x[i - 1, j - 1], x[i - 1, j + 1] if j + 1 < width else x[i, 0]
 
 
+#: Modes that predict a pixel by the row above alone, or by the pixel on its left alone.
+BY_ROWS = (1, 2, 3, 4, 8, 9)
+
+
+def _row_prediction(mode: int, above: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Predictions of a row from its second pixel on. first: the row's first pixel, which stands for what is beyond the right edge."""
+    top, corner, right = above[1:], above[:-1], np.concatenate([above[2:], first[None]])
+    return {2: lambda: top, 3: lambda: right, 4: lambda: corner, 8: lambda: _average(corner, top), 9: lambda: _average(top, right)}[mode]()
+
+
 def _add_predictions(x: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     """Invert the predictor transform."""
     height, width = x.shape[:2]
@@ -256,8 +347,14 @@ def _add_predictions(x: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray
     x[0, 0] += np.array([255, 0, 0, 0], np.uint8)
     x[0] = np.cumsum(x[0], axis=0, dtype=np.uint8)
     used = np.unique(modes)
-    if len(used) == 1 and used[0] == 2:
-        return np.cumsum(x, axis=0, dtype=np.uint8)
+    if len(used) == 1 and used[0] in BY_ROWS:
+        for i in range(1, height):
+            x[i, 0] += x[i - 1, 0]
+            if used[0] == 1:
+                x[i] = np.cumsum(x[i], axis=0, dtype=np.uint8)
+            else:
+                x[i, 1:] += _row_prediction(int(used[0]), x[i - 1], x[i, 0])
+        return x
     for i in range(1, height):
         x[i, 0] += x[i - 1, 0]
         for j in range(1, width):
@@ -279,7 +376,8 @@ def _subtract_predictions(x: np.ndarray, modes: np.ndarray, block: int) -> np.nd
 
 def _cross_colour(x: np.ndarray, factors: np.ndarray, block: int, sign: int) -> np.ndarray:
     """Add (sign 1) or take away (-1) what green and red tell of red and blue. factors: pixels (255, red to blue, green to blue, green to red)."""
-    f = factors.repeat(1 << block, axis=0).repeat(1 << block, axis=1)[: x.shape[0], : x.shape[1]].view(np.int8).astype(np.int32)
+    rows, columns = (np.arange(n) >> block for n in x.shape[:2])
+    f = factors.view(np.int8).astype(np.int32)[rows[:, None], columns]
     y = x.astype(np.int32)
     signed = lambda v: v.astype(np.uint8).view(np.int8).astype(np.int32)
     green = signed(y[..., 2])
@@ -583,32 +681,203 @@ def encode(x: np.ndarray, predictor: int | None = None, cross: tuple[int, int, i
     return _file(w.value.to_bytes((w.n + 7) // 8, "little"))
 
 
-def _even_codes() -> tuple[int, int]:
-    w = Writer()
-    w.bits(0, 3)  # no transform, no cache, one group of codes
-    even = [8] * 256
-    for lengths in (even + [0] * LENGTHS, even, even, even):
-        _write_lengths(w, lengths)
-    _write_lengths(w, [1] + [0] * (DISTANCES - 1))
-    return w.value, w.n
+# --- files of the media column ----------------------------------------------------------------------
+
+CACHE_BITS = 6
+#: Letters from the most to the least frequent, by which the codes of text are made.
+_FREQUENT = " etaonirsdlhucmfpgywbvkxjqz"
+
+
+def _weights_of_text() -> list[int]:
+    out = [1] * 256
+    out[128:192] = [24] * 64
+    out[192:245] = [6] * 53
+    for k, c in enumerate(_FREQUENT):
+        out[ord(c)] = 4000 >> k // 4
+        out[ord(c.upper())] = max(out[ord(c.upper())], 160 >> k // 4)
+    for c in "\n.,0123456789-'\"()&;:?!#$%*/<>=_@":
+        out[ord(c)] = 48
+    out[255] = 400
+    return out
+
+
+def _weights_of_differences() -> list[int]:
+    return [max(1, 20000 // (1 + min(v, 256 - v)) ** 2) for v in range(256)]
+
 
+class Group:
+    """A fixed set of the five codes, as written before the pixels: a colour cache, one group, the code lengths."""
 
-_EVEN = _even_codes()
+    def __init__(self, weights: list[int]):
+        w = Writer()
+        w.bits(1 | CACHE_BITS << 1, 5)
+        w.bits(0, 1)
+        total = sum(weights)
+        lengths = [max(1, total // 40 >> k // 2) for k in range(LENGTHS)]
+        cached = [max(1, total // 8 >> CACHE_BITS)] * (1 << CACHE_BITS)
+        self.codes = [_write_lengths(w, code_lengths(c)) for c in (weights + lengths + cached, weights, weights, weights, [4] * 14 + [3] * 12 + [1] * 14)]
+        self.head = np.unpackbits(np.frombuffer(w.value.to_bytes(w.n + 7 >> 3, "little"), np.uint8), bitorder="little")[: w.n]
+        self.cost = np.array(self.codes[1].lengths)
 
+    def bits_for(self, x: np.ndarray) -> int:
+        """Bits of all pixels as literals."""
+        return int(np.bincount(x.reshape(-1), minlength=256) @ self.cost)
 
-def encode_even(x: np.ndarray) -> bytes:
-    """A file with literals only, of eight bits for each channel: written and read with array operations."""
+
+@lru_cache(1)
+def groups() -> tuple[Group, Group]:
+    return Group(_weights_of_text()), Group(_weights_of_differences())
+
+
+@lru_cache(64)
+def _near(width: int) -> dict[int, int]:
+    return {_distance(c + 1, width): c + 1 for c in reversed(range(len(NEAR)))}
+
+
+def _repeats(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references as (place, pixels, distance): greedily, of three pixels or more, each to the latest place that begins alike."""
+    if len(px) < 4:
+        return []
+    p = px.astype(np.uint64)
+    key = p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ p[2:] * np.uint64(0x165667B19E3779F9)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    here, earlier = order[same + 1], order[same]
+    by_place = np.argsort(here)
+    out, at = [], 0
+    for c, j in zip(here[by_place].tolist(), earlier[by_place].tolist(), strict=True):
+        if c < at:
+            continue
+        n, step = 0, 16
+        while n < 4096 and c + n < len(px):
+            m = min(step, 4096 - n, len(px) - c - n)
+            differ = np.flatnonzero(px[c + n : c + n + m] != px[j + n : j + n + m])
+            if len(differ):
+                n += int(differ[0])
+                break
+            n, step = n + m, step * 4
+        if n >= 3:
+            out.append((c, n, c - j))
+            at = c + n
+    return out
+
+
+def _stream(px: np.ndarray, width: int, group: Group, step: int = 1 << 16) -> list[np.ndarray]:
+    """The bits of pixels, one to a byte: copies, places of the colour cache, literals."""
+    slot = (px.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
+    order = np.argsort(slot, kind="stable")
+    again = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+    cached = np.zeros(len(px), bool)
+    cached[order[1:][again]] = True
+    copies = _repeats(px)
+    covered = np.zeros(len(px) + 1, np.int32)
+    for c, n, _ in copies:
+        covered[c] += 1
+        covered[c + n] -= 1
+    free = np.cumsum(covered[:-1]) == 0
+    free[[c for c, _, _ in copies]] = True
+    at = np.flatnonzero(free)
+    codes = np.zeros((len(px), 4), np.int64)
+    sizes = np.zeros((len(px), 4), np.int64)
+    for k, shift in enumerate((8, 16, 0, 24)):
+        bits, lengths = group.codes[k].written
+        v = (px >> np.uint32(shift) & np.uint32(255)).astype(np.int64)
+        if not k:
+            v = np.where(cached, LITERALS + LENGTHS + slot.astype(np.int64), v)
+        codes[:, k] = bits[v]
+        sizes[:, k] = np.where(cached, 0, lengths[v]) if k else lengths[v]
+    near = _near(width)
+    (gb, gn), (db, dn) = group.codes[0].written, group.codes[4].written
+    for c, n, back in copies:
+        s, extra, m = _prefix(n)
+        d, more, k = _prefix(near.get(back, back + len(NEAR)))
+        codes[c] = gb[LITERALS + s], extra, db[d], more
+        sizes[c] = gn[LITERALS + s], m, dn[d], k
+    out = []
+    for i in range(0, len(at), step):
+        code, size = codes[at[i : i + step]].reshape(-1), sizes[at[i : i + step]].reshape(-1)
+        ends = np.cumsum(size)
+        offset = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        out.append((np.repeat(code, size) >> offset & 1).astype(np.uint8))
+    return out
+
+
+def _differences(x: np.ndarray, mode: int) -> np.ndarray:
+    """The predictor transform in one of the modes BY_ROWS."""
+    out = x.copy()
+    out[0, 0] -= np.array([255, 0, 0, 0], np.uint8)
+    out[0, 1:] -= x[0, :-1]
+    out[1:, 0] -= x[:-1, 0]
+    if mode == 1:
+        out[1:, 1:] -= x[1:, :-1]
+    else:
+        for i in range(1, len(x)):
+            out[i, 1:] -= _row_prediction(mode, x[i - 1], x[i, 0])
+    return out
+
+
+def _cross_factors(x: np.ndarray) -> tuple[int, int, int]:
+    """Least-squares factors of red to blue, green to blue and green to red, in thirty-seconds."""
+    v = x.view(np.int8).astype(float)
+    green, red, blue = v[..., 2].ravel(), v[..., 1].ravel(), v[..., 3].ravel()
+    power = max(1.0, float(green @ green))
+    clip = lambda f: int(np.clip(np.rint(32 * f), -128, 127))
+    to_red, to_blue = clip(green @ red / power), clip(green @ blue / power)
+    rest = blue - to_blue * green / 32
+    return clip(red @ rest / max(1.0, float(red @ red))), to_blue, to_red
+
+
+def encode_stored(x: np.ndarray) -> bytes:
+    """A lossless file of the pixels, with the transforms, cache hits, back-references and codes that suit them.
+
+    Up to 16 colours become a palette. Else the cheapest, counted as literals, of the pixels themselves in the codes of
+    text, and of the predictor transform in each mode BY_ROWS in the codes of differences, then with cross-colour or
+    subtract-green if these make it cheaper still.
+    """
     height, width = x.shape[:2]
+    text, small = groups()
     w = _start(width, height)
-    w.bits(*_EVEN)
-    head = w.value.to_bytes((w.n + 7) // 8, "little")
-    # green, red, blue, alpha; codes begin with their most significant bit
-    body = _REVERSED[np.ascontiguousarray(x[..., (2, 1, 3, 0)]).reshape(-1)]
-    shift = w.n & 7
-    if not shift:
-        return _file(head + body.tobytes())
-    out = np.zeros(len(body) + 1, np.uint8)
-    out[:-1] = body << shift
-    out[1:] |= body >> (8 - shift)
-    out[0] |= head[-1]
-    return _file(head[:-1] + out.tobytes())
+    x = np.ascontiguousarray(x)
+    px = x.reshape(-1, 4).view(">u4").ravel().astype(np.uint32)
+    side = 9
+    sub = lambda pixel: np.broadcast_to(np.array(pixel, np.uint8), ((height + 511) >> side, (width + 511) >> side, 4))
+    chosen = text
+    colours = np.unique(px[:64])
+    if len(colours) <= 16 and len(colours := np.unique(px)) <= 16:
+        table = colours.astype(">u4").view(np.uint8).reshape(-1, 4)
+        w.bits(1 | PALETTE << 1, 3)
+        w.bits(len(colours) - 1, 8)
+        _write_pixels(w, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)[None], False)
+        bits = _packing(len(colours))
+        per, count = 8 >> bits, 1 << bits
+        index = np.searchsorted(colours, px).reshape(height, width)
+        index = np.pad(index, ((0, 0), (0, -width % count))).reshape(height, -1, count)
+        x = np.zeros((height, index.shape[1], 4), np.uint8)
+        x[..., 0] = 255
+        x[..., 2] = (index << np.arange(count) * per).sum(axis=2)
+        chosen = small
+    else:
+        cost = text.bits_for(x)
+        best = min(((small.bits_for(y), mode, y) for mode in BY_ROWS for y in [_differences(x, mode)]), key=lambda t: t[:2])
+        if best[0] < cost:
+            _, mode, x = best
+            chosen = small
+            w.bits(1 | PREDICTOR << 1, 3)
+            w.bits(side - 2, 3)
+            _write_pixels(w, sub((255, 0, mode, 0)), False)
+            factors = _cross_factors(x)
+            crossed = _cross_colour(x, np.array([[[255, *(f & 255 for f in factors)]]], np.uint8), 14, -1)
+            greened = _add_green(x, -1)
+            costs = [small.bits_for(y) for y in (x, crossed, greened)]
+            if costs[1] < min(costs[0], costs[2] + 1):
+                w.bits(1 | CROSS << 1, 3)
+                w.bits(side - 2, 3)
+                _write_pixels(w, sub((255, *(f & 255 for f in factors))), False)
+                x = crossed
+            elif costs[2] < costs[0]:
+                w.bits(1 | GREEN << 1, 3)
+                x = greened
+    w.bits(0, 1)
+    head = np.unpackbits(np.frombuffer(w.value.to_bytes(w.n + 7 >> 3, "little"), np.uint8), bitorder="little")[: w.n]
+    px = np.ascontiguousarray(x).reshape(-1, 4).view(">u4").ravel().astype(np.uint32)
+    return _file(np.packbits(np.concatenate([head, chosen.head, *_stream(px, x.shape[1], chosen)]), bitorder="little").tobytes())

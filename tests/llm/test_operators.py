@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm.decontamination import clean, contaminated
 from quire.llm.html_text import LAYOUTS, Tree, extract, labelled, main_text, trained
 from quire.llm.language_id import held_out, identify
-from quire.llm.media import media_columns
+from quire.llm.media import feature, load, media_columns, store
 from quire.llm.mixing import _quotas, apportion, mix, mixed, targets
 from quire.llm.sharding import shard
 from quire.llm.token_count import count_tokens, default_path, merges_in
@@ -153,7 +153,8 @@ def test_media(spark):
         whole = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
-        assert r.media_bytes > len(whole) and len(r.media_sha256) == 64 and r.feature
+        stored = store(whole)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), feature(load(stored)))
     assert got[1].feature == got[2].feature
     assert media_columns(docs(spark, {})).count() == 0
 

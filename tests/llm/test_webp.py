@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 
+from quire.llm import webp
 from quire.llm.media import load, padded, store
-from quire.llm.webp import NEAR, Code, code_lengths, decode, encode, encode_even
+from quire.llm.webp import NEAR, Code, code_lengths, decode, encode, encode_stored
+from tests.llm.helpers import prose
 
 
 def picture(height, width, colours=None, seed=0):
@@ -63,10 +65,54 @@ def test_all_together():
     same(np.tile(picture(6, 8, 20, 3), (3, 3, 1)), green=True, predictor=11, cross=(1, 2, 3), cache_bits=5, references=True, split=3)
 
 
-def test_even_codes_are_ordinary_files():
-    for height in (1, 2, 40):
-        x = picture(height, 144, seed=height)
-        assert (decode(encode_even(x)) == x).all()
+def used(monkeypatch, x):
+    """What reading the stored form of x goes through, and its bytes."""
+    seen = set()
+    for name in ("_add_predictions", "_cross_colour", "_add_green", "_unpalette", "_expand"):
+        f = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, f=f, name=name: (seen.add(name), f(*a))[1])
+    data = encode_stored(x)
+    seen.clear()
+    assert (decode(data) == x).all()
+    return seen, data
+
+
+def test_stored_text(monkeypatch):
+    raw = padded(prose(3000, 1).encode())
+    seen, data = used(monkeypatch, np.frombuffer(raw, np.uint8).reshape(-1, 144, 4))
+    assert "_expand" in seen and len(data) < 0.8 * len(raw)
+
+
+def test_stored_slopes(monkeypatch):
+    i, j = np.mgrid[0:40, 0:144]
+    r = np.random.default_rng(1)
+    for make in (lambda k: 3 * i + j * (k + 1), lambda k: 5 * i + r.integers(0, 3, i.shape)):
+        x = np.stack([make(k) for k in range(4)], axis=2).astype(np.uint8)
+        seen, data = used(monkeypatch, x)
+        assert "_add_predictions" in seen and len(data) < x.size // 2
+
+
+def test_stored_colours(monkeypatch):
+    r = np.random.default_rng(2)
+    steps = np.cumsum(r.integers(-20, 21, (40, 144)), axis=0)
+    seen, _ = used(monkeypatch, np.stack([np.full_like(steps, 255), steps, steps, steps], axis=2).astype(np.uint8))
+    assert {"_add_predictions"} < seen and seen & {"_cross_colour", "_add_green"}
+    seen, data = used(monkeypatch, picture(30, 144, 9))
+    assert "_unpalette" in seen and len(data) < 30 * 144
+
+
+@pytest.mark.parametrize("height", [1, 2, 40, 700])
+@pytest.mark.parametrize("colours", [None, 1, 2, 5, 16, 17, 300])
+def test_stored(height, colours):
+    x = picture(height, 144, colours, height)
+    assert (decode(encode_stored(x)) == x).all()
+
+
+def test_cut_files():
+    data = encode_stored(picture(3, 144))
+    for n in (60, len(data) // 2, len(data) - 30):
+        with pytest.raises(ValueError):
+            decode(data[:n])
 
 
 def test_distance_order():
@@ -90,6 +136,13 @@ def test_payloads(n):
     assert load(store(whole)).tobytes() == whole
 
 
+def test_texts_of_all_kinds():
+    texts = ["", "a", "a" * 5000, prose(2000, 3), prose(400, 4) * 6, "ж" * 700 + prose(50, 5), "".join(chr(0x4E00 + i % 3000) for i in range(2500)), "\n".join(["one line again"] * 300)]
+    for t in texts:
+        whole = padded(t.encode())
+        assert load(store(whole)).tobytes() == whole
+
+
 def test_more_rows_than_an_image_may_have():
     whole = padded(bytes(16384 * 576 + 5))
     assert load(store(whole)).tobytes() == whole
