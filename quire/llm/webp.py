@@ -205,7 +205,7 @@ def _decode_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray
 
 
 #: Bytes that array operations of the decoder work on at a time, and bits that one pixel or copy can take at most.
-SLAB, LONGEST = 1 << 16, 96
+SLAB, LONGEST = 1 << 13, 96
 
 
 def _values(prefixes: np.ndarray, at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,18 +227,21 @@ def _decode_chain(r: Reader, n: int, width: int, codes: list[Code], cache_bits:
         raw = whole[base : base + SLAB]
         ends = base + SLAB >= len(whole)
         raw = np.concatenate([raw, np.zeros(2 * LONGEST // 8, np.uint8)]) if ends else raw
-        wide = raw.astype(np.uint32)
+        wide = raw.astype(np.int64)
         wide[:-1] |= wide[1:] << 8
         wide[:-2] |= (wide[2:] & 255) << 16
-        peek = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & 0x7FFF).ravel()
-        last = np.int32(len(peek) - 1)
-        g, length = gs[peek], gl[peek]
-        p1 = np.minimum(np.arange(len(peek), dtype=np.int32) + length, last)
-        p2 = np.minimum(p1 + rl[peek[p1]], last)
-        p3 = np.minimum(p2 + bl[peek[p2]], last)
-        then = p3 + al[peek[p3]]
-        run = np.ones(len(peek), np.int32)
-        copies = np.flatnonzero((g >= LITERALS) & (g < first_cached) & (p1 < len(peek) - LONGEST))
+        # what begins at the last bits is not read from this slab; zeros stand for what those would look up
+        peek = np.zeros(8 * len(wide) + LONGEST, np.int64)
+        bits = len(peek) - LONGEST
+        np.right_shift(wide[:, None], np.arange(8), out=peek[:bits].reshape(-1, 8))
+        peek &= 0x7FFF
+        g = gs.take(peek[:bits])
+        p1 = np.arange(bits) + gl.take(peek[:bits])
+        p2 = p1 + rl.take(peek.take(p1))
+        p3 = p2 + bl.take(peek.take(p2))
+        then = p3 + al.take(peek.take(p3))
+        run = np.ones(bits, np.int64)
+        copies = np.flatnonzero(g[: bits - LONGEST] - np.uint16(LITERALS) < LENGTHS)
         if len(copies):
             run[copies], extra = _values(g[copies].astype(np.int64) - LITERALS, p1[copies], raw)
             at = p1[copies] + extra
@@ -249,7 +252,7 @@ def _decode_chain(r: Reader, n: int, width: int, codes: list[Code], cache_bits:
         if cache_bits:
             np.copyto(then, p1, where=g >= first_cached)
         nexts, runs = memoryview(then), memoryview(run)
-        p, stop, spots = r.pos & 7, len(peek) - LONGEST, []
+        p, stop, spots = r.pos & 7, bits - LONGEST, []
         while i < n and p < stop:
             spots.append(p)
             i += runs[p]
@@ -273,12 +276,15 @@ def _decode_chain(r: Reader, n: int, width: int, codes: list[Code], cache_bits:
 def _expand(n: int, width: int, kinds: list[int], values: list[int], runs: list[int], backs: list[int], cache_bits: int) -> np.ndarray:
     """Pixels from literals, copies and places of the colour cache."""
     out: list[int] = []
+    add = out.append
     shift, cache = 32 - cache_bits, [0] * (1 << cache_bits)
-    for kind, value, run, back in zip(kinds, values, runs, backs, strict=True):
+    slots = (np.array(values) * CACHE_MULTIPLIER >> shift & (1 << cache_bits) - 1).tolist()
+    for kind, value, slot, run, back in zip(kinds, values, slots, runs, backs, strict=True):
         if kind < LITERALS:
-            out.append(value)
-            new = (value,)
-        elif kind < LITERALS + LENGTHS:
+            add(value)
+            cache[slot] = value
+            continue
+        if kind < LITERALS + LENGTHS:
             start = len(out) - _distance(back, width)
             if start < 0:
                 raise ValueError("a back-reference before the first pixel")
@@ -286,7 +292,7 @@ def _expand(n: int, width: int, kinds: list[int], values: list[int], runs: list[
             new = (new * (run // len(new) + 1))[:run]
             out += new
         else:
-            out.append(cache[kind - LITERALS - LENGTHS])
+            add(cache[kind - LITERALS - LENGTHS])
             continue
         if cache_bits:
             for v in new:
@@ -335,9 +341,14 @@ BY_ROWS = (1, 2, 3, 4, 8, 9)
 
 
 def _row_prediction(mode: int, above: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Predictions of a row from its second pixel on. first: the row's first pixel, which stands for what is beyond the right edge."""
-    top, corner, right = above[1:], above[:-1], np.concatenate([above[2:], first[None]])
-    return {2: lambda: top, 3: lambda: right, 4: lambda: corner, 8: lambda: _average(corner, top), 9: lambda: _average(top, right)}[mode]()
+    """Predictions of a row, or of many at once, from the second pixel on. first: the row's first pixel, which stands for what is beyond the right edge."""
+    top, corner = above[..., 1:, :], above[..., :-1, :]
+    if mode in (2, 4):
+        return top if mode == 2 else corner
+    if mode == 8:
+        return _average(corner, top)
+    right = np.concatenate([above[..., 2:, :], first[..., None, :]], axis=-2)
+    return right if mode == 3 else _average(top, right)
 
 
 def _add_predictions(x: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
@@ -810,9 +821,8 @@ def _differences(x: np.ndarray, mode: int) -> np.ndarray:
     out[1:, 0] -= x[:-1, 0]
     if mode == 1:
         out[1:, 1:] -= x[1:, :-1]
-    else:
-        for i in range(1, len(x)):
-            out[i, 1:] -= _row_prediction(mode, x[i - 1], x[i, 0])
+    elif len(x) > 1:
+        out[1:, 1:] -= _row_prediction(mode, x[:-1], x[1:, 0])
     return out
 
 
