@@ -68,11 +68,12 @@ def _line_ids(every: DataFrame) -> tuple[Column, str]:
 
 def word_sets(line: Column, table: bytearray) -> Column:
     """The line's distinct words as longs in order of rarity: the bucket's rank, then 56 bits of the hash."""
-    ranks = F.lit(table)
+    # one constant array once the plan is folded: an element of it costs less than a character of a string
+    ranks = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")
     hashes = F.array_remove(F.transform(split_words(line), lambda word: F.xxhash64(word)), F.xxhash64(F.lit("")))
 
     def pack(h: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, _bucket(h) + 1, F.lit(1)).cast("string"))
+        rank = F.coalesce(F.get(ranks, _bucket(h)), F.lit(1).cast("tinyint"))
         return F.shiftleft(rank.cast("long"), _KEPT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
 
     return F.sort_array(F.array_distinct(F.transform(hashes, pack)))
@@ -156,8 +157,17 @@ def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None =
     named = every.where("n > 0 and doc_id is not null")
     # equal sets (by 64 bits of hash, 128 of parity and the size): the first line stands for all; ids follow the order of lines
     id_, order = _line_ids(every)
-    first = named.withColumn("id", id_).groupBy("k", "n", "bits", "odd").agg(F.min(F.struct(*dict.fromkeys((order, "doc_id", "line_no", "prefix", "keys")))).alias("m")).select("m.*", "n", "bits", "odd")
-    if order != "id":
+    groups = named.withColumn("id", id_).groupBy("k", "n", "bits", "odd")
+    if order == "id":
+        # the least id alone is a sum in place; its row is fetched afterwards, so that no prefix is sorted by group
+        least_ids = groups.agg(F.min("id").alias("id")).select("id", "k")
+        rows = every.where("line_no = 0 and doc_id is not null").groupBy("doc_id").count()
+        # where rows share a doc_id, an id may have two sets, or one set twice
+        by = ["id"] if rows.where("count > 1").isEmpty() else ["id", "k"]
+        first = named.withColumn("id", id_).join(least_ids.select(by), by, "left_semi")
+        first = (first if by == ["id"] else first.dropDuplicates(by)).select("id", "doc_id", "line_no", "prefix", "keys", "n", "bits", "odd")
+    else:
+        first = groups.agg(F.min(F.struct("doc_id", "line_no", "prefix", "keys")).alias("m")).select("m.*", "n", "bits", "odd")
         first = first.orderBy("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id())
     first = scratch.save(first, hashes=True)
     equal = scratch.save(named.select("doc_id", "line_no").join(first.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
@@ -207,7 +217,7 @@ def deduplicate_lines(docs: DataFrame, threshold=JACCARD) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     removed = similar_lines(docs, threshold, scratch)
     by_doc = removed.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "d")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = base.join(by_doc, F.col("doc_id") == F.col("d"), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 

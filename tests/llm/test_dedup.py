@@ -192,6 +192,12 @@ def test_lines_of_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0)]
 
 
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    rows = [(1, "a b c d\nq r s t"), (1, "a b c d\nu v w x"), (1, "a b c d\nq r s t"), (2, "u v w x\nq r s t\nk l m n"), (3, "k l m n")]
+    got = deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, tuple(r.removed)) for r in got} == {(1, ()), (2, (0, 1)), (3, (0,))} and len(got) == 5
+
+
 def test_lines_stay_native(spark, lined):
     plan = deduplicate_lines(docs(spark, lined))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
