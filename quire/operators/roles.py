@@ -30,15 +30,15 @@ def page_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*_PAGE).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("txt"))
 
 
-def classify_pages(lines: DataFrame, stats: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """book_id, page_no, page_type, confidence, evidence (array of signal and weight), in the order of WEIGHTS."""
+def classify_pages(lines: DataFrame, stats: DataFrame, images: DataFrame | None = None, words=n_words) -> DataFrame:
+    """book_id, page_no, page_type, confidence, evidence (array of signal and weight), in the order of WEIGHTS. words: counts a line's words."""
     t = strip(F.col("text"))
     like = lambda c, p: F.regexp_like(c, F.lit(p))
     rows = lines.join(stats.select("book_id", "body_size"), "book_id").withColumn("t", t)
     top = F.slice(F.array_sort(F.collect_list(F.struct("line_no", "t"))), 1, 8)
     page = rows.groupBy(*_PAGE).agg(
         F.count("*").alias("n"), top.alias("top"), F.sum(like(F.col("text"), P.DOT_LEADER).cast("int")).alias("leaders"),
-        F.bool_or(F.col("size") > F.col("body_size") * 1.35).alias("large"), F.sum((n_words(F.col("t")) <= 4).cast("int")).alias("short"), F.max("width").alias("width"), F.max("height").alias("height"),
+        F.bool_or(F.col("size") > F.col("body_size") * 1.35).alias("large"), F.sum((words(F.col("text")) <= 4).cast("int")).alias("short"), F.max("width").alias("width"), F.max("height").alias("height"),
     ).join(page_text(lines), list(_PAGE))
     if images is None:
         page = page.withColumn("n_images", F.lit(0)).withColumn("big", F.lit(False))
