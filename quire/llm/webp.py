@@ -66,6 +66,7 @@ class Code:
                 self.codes[s] = code
                 self.table[last, code] = s
                 code += 1
+
     @cached_property
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and code length by the next 15 bits, least significant first."""
@@ -78,6 +79,13 @@ class Code:
             lengths[at :: 1 << n] = n
         return symbols, lengths
 
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """For the code of greens: the code length by the next 15 bits, and whether a copy or a place of the cache begins there."""
+        symbols, lengths = self.tables
+        marks = np.where(symbols < LITERALS, 0, np.where(symbols < LITERALS + LENGTHS, _COPY, _CACHED))
+        return (lengths | marks).astype(np.uint8)
+
     @cached_property
     def written(self) -> tuple[np.ndarray, np.ndarray]:
         """Bits to write by symbol, least significant first, and their number."""
@@ -206,98 +214,129 @@ def _decode_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray
 
 #: Bytes that array operations of the decoder work on at a time, and bits that one pixel or copy can take at most.
 SLAB, LONGEST = 1 << 13, 96
-
-
-def _values(prefixes: np.ndarray, at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths or distances of prefix symbols whose extra bits begin at the bits `at` of raw, and how many extra bits they have."""
-    extra = np.where(prefixes < 4, 0, prefixes - 2 >> 1)
-    more = raw[(at >> 3)[:, None] + np.arange(4)].astype(np.int64) << np.arange(0, 32, 8)
-    bits = more.sum(axis=1) >> (at & 7) & (1 << extra) - 1
-    return np.where(prefixes < 4, prefixes + 1, (2 + (prefixes & 1) << extra) + bits + 1), extra
+#: Marks beside the length in a code's steps, and what stands for the bit after a copy.
+_COPY, _CACHED, _COPIED = 16, 32, 1 << 40
 
 
 def _decode_chain(r: Reader, n: int, width: int, codes: list[Code], cache_bits: int) -> np.ndarray:
-    """n pixels as numbers, read with one group of codes."""
+    """n pixels as numbers, read with one group of codes. Copies, which are few, are read one by one where the chain meets them."""
     whole = np.frombuffer(r.data, np.uint8)
-    (gs, gl), (rs, rl), (bs, bl), (as_, al), (ds, dl) = (c.tables for c in codes)
-    first_cached = LITERALS + LENGTHS
-    parts, i, plain = [], 0, True
+    (gs, _), (rs, rl), (bs, bl), (as_, al), (ds, dl) = (c.tables for c in codes)
+    steps = codes[0].steps
+    alike = codes[1].lengths == codes[2].lengths == codes[3].lengths
+    parts, copies, i, events = [], [], 0, 0
     while i < n:
         base = r.pos >> 3
         raw = whole[base : base + SLAB]
-        ends = base + SLAB >= len(whole)
-        raw = np.concatenate([raw, np.zeros(2 * LONGEST // 8, np.uint8)]) if ends else raw
+        if base + SLAB >= len(whole):
+            raw = np.concatenate([raw, np.zeros(2 * LONGEST // 8, np.uint8)])
         wide = raw.astype(np.int64)
         wide[:-1] |= wide[1:] << 8
         wide[:-2] |= (wide[2:] & 255) << 16
         # what begins at the last bits is not read from this slab; zeros stand for what those would look up
-        peek = np.zeros(8 * len(wide) + LONGEST, np.int64)
-        bits = len(peek) - LONGEST
-        np.right_shift(wide[:, None], np.arange(8), out=peek[:bits].reshape(-1, 8))
+        bits = 8 * len(wide)
+        peek = np.zeros(bits + LONGEST, np.int64)
+        by_shift = peek[:bits].reshape(-1, 8)
+        for k in range(8):
+            np.right_shift(wide, k, out=by_shift[:, k])
         peek &= 0x7FFF
-        g = gs.take(peek[:bits])
-        p1 = np.arange(bits) + gl.take(peek[:bits])
-        p2 = p1 + rl.take(peek.take(p1))
-        p3 = p2 + bl.take(peek.take(p2))
-        then = p3 + al.take(peek.take(p3))
-        run = np.ones(bits, np.int64)
-        copies = np.flatnonzero(g[: bits - LONGEST] - np.uint16(LITERALS) < LENGTHS)
-        if len(copies):
-            run[copies], extra = _values(g[copies].astype(np.int64) - LITERALS, p1[copies], raw)
-            at = p1[copies] + extra
-            q = peek[at]
-            far = at + dl[q]
-            back, extra = _values(ds[q].astype(np.int64), far, raw)
-            then[copies] = far + extra
+        places = np.arange(len(peek))
+        after_red = places + rl.take(peek)
+        after_blue, after_alpha = (after_red, after_red) if alike else (places + bl.take(peek), places + al.take(peek))
+        step = steps.take(peek[:bits])
+        p1 = places[:bits] + (step & 15)
+        then = after_alpha.take(after_blue.take(after_red.take(p1)))
         if cache_bits:
-            np.copyto(then, p1, where=g >= first_cached)
-        nexts, runs = memoryview(then), memoryview(run)
+            np.copyto(then, p1, where=step >= _CACHED)
+        np.copyto(then, _COPIED, where=step & _COPY != 0)
+        nexts = memoryview(then)
         p, stop, spots = r.pos & 7, bits - LONGEST, []
-        while i < n and p < stop:
-            spots.append(p)
-            i += runs[p]
-            p = nexts[p]
+        add = spots.append
+        while i < n:
+            before = len(spots)
+            for _ in range(n - i):
+                if p >= stop:
+                    break
+                add(p)
+                p = nexts[p]
+            i += len(spots) - before
+            if p < _COPIED:
+                break
+            q = spots[-1]
+            r.pos = (base << 3) + int(p1[q])
+            run = _value(r, int(gs[peek[q]]) - LITERALS)
+            q = r.peek(15)
+            r.pos += int(dl[q])
+            copies.append((events + len(spots) - 1, run, _distance(_value(r, int(ds[q])), width)))
+            p = r.pos - (base << 3)
+            i += run - 1
         if not spots or (base << 3) + p > 8 * len(whole):
             raise ValueError("the image data end early")
         r.pos = (base << 3) + p
+        events += len(spots)
         at = np.array(spots)
-        kind = g[at].astype(np.int64)
-        value = (as_[peek[p3[at]]].astype(np.int64) << 24) | (rs[peek[p1[at]]].astype(np.int64) << 16) | ((kind & 255) << 8) | bs[peek[p2[at]]]
-        distances = np.zeros(len(at), np.int64)
-        if len(copies):
-            which = np.flatnonzero((kind >= LITERALS) & (kind < first_cached))
-            distances[which] = back[np.searchsorted(copies, at[which])]
-        plain = plain and bool((kind < LITERALS).all())
-        parts.append((kind, value, run[at], distances))
-    kind, value, run, back = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return value[:n].astype(np.uint32) if plain else _expand(n, width, kind.tolist(), value.tolist(), run.tolist(), back.tolist(), cache_bits)
-
-
-def _expand(n: int, width: int, kinds: list[int], values: list[int], runs: list[int], backs: list[int], cache_bits: int) -> np.ndarray:
-    """Pixels from literals, copies and places of the colour cache."""
-    out: list[int] = []
-    add = out.append
-    shift, cache = 32 - cache_bits, [0] * (1 << cache_bits)
-    slots = (np.array(values) * CACHE_MULTIPLIER >> shift & (1 << cache_bits) - 1).tolist()
-    for kind, value, slot, run, back in zip(kinds, values, slots, runs, backs, strict=True):
-        if kind < LITERALS:
-            add(value)
-            cache[slot] = value
+        kind = gs[peek[at]].astype(np.int64)
+        at = p1[at]
+        blue = after_red[at]
+        value = (as_[peek[after_blue[blue]]].astype(np.int64) << 24) | (rs[peek[at]].astype(np.int64) << 16) | ((kind & 255) << 8) | bs[peek[blue]]
+        parts.append((kind, value))
+    kind, value = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+    return value.astype(np.uint32) if len(kind) == n and not (kind >= LITERALS).any() else _expand(n, kind, value, copies, cache_bits)
+
+
+def _expand(n: int, kind: np.ndarray, value: np.ndarray, copies: list[tuple[int, int, int]], cache_bits: int) -> np.ndarray:
+    """Pixels from literals, copies (place among all, pixels, distance) and places of the colour cache.
+
+    A place of the cache holds the later of the last literal and the last copied pixel of its hash; literals are found by
+    array operations, copied pixels are kept from the first copy on.
+    """
+    run = np.ones(len(kind), np.int64)
+    for e, m, _ in copies:
+        run[e] = m
+    ends = np.cumsum(run)
+    place = ends - run
+    out = np.zeros(max(n, int(ends[-1])), np.uint32)
+    literal = kind < LITERALS
+    out[place[literal]] = value[literal]
+    shift = 32 - cache_bits
+    slot_of = lambda v: v * CACHE_MULTIPLIER >> shift & (1 << cache_bits) - 1
+    hits = np.flatnonzero(kind >= LITERALS + LENGTHS)
+    if len(hits):
+        which = np.flatnonzero(literal | (kind >= LITERALS + LENGTHS))
+        slot = np.where(literal[which], slot_of(value[which]), kind[which] - LITERALS - LENGTHS).astype(np.uint8 if cache_bits <= 8 else np.uint16)
+        order = np.argsort(slot, kind="stable")
+        which, slot = which[order], slot[order]
+        told = literal[which]
+        last = np.maximum.accumulate(np.where(told, np.arange(len(which)), 0))
+        known = ~told & told[last] & (slot[last] == slot)
+        source = np.full(len(kind), -1)
+        source[which[known]] = which[last[known]]
+        from_literals = source[hits]
+        out[place[hits]] = np.where(from_literals < 0, 0, value[from_literals])
+    if not copies:
+        return out[:n]
+    later = [(int(h), -1, 0) for h in hits[np.searchsorted(hits, copies[0][0]) :]]
+    when: dict[int, int] = {}
+    what: dict[int, int] = {}
+    for e, m, back in sorted(copies + later) if later else copies:
+        at = int(place[e])
+        if m < 0:
+            slot = int(kind[e]) - LITERALS - LENGTHS
+            if when.get(slot, -1) > source[e]:
+                out[at] = what[slot]
             continue
-        if kind < LITERALS + LENGTHS:
-            start = len(out) - _distance(back, width)
-            if start < 0:
-                raise ValueError("a back-reference before the first pixel")
-            new = out[start : start + run]
-            new = (new * (run // len(new) + 1))[:run]
-            out += new
+        if back > at:
+            raise ValueError("a back-reference before the first pixel")
+        if back >= m:
+            out[at : at + m] = out[at - back : at - back + m]
         else:
-            add(cache[kind - LITERALS - LENGTHS])
-            continue
-        if cache_bits:
-            for v in new:
-                cache[(v * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = v
-    return np.array(out[:n], np.uint32)
+            out[at : at + m] = np.resize(out[at - back : at], m)
+        if later:
+            new = out[at + max(0, m - back) : at + m].astype(np.int64)
+            slots = slot_of(new).tolist()
+            when.update(dict.fromkeys(slots, e))
+            what.update(zip(slots, new.tolist(), strict=True))
+    return out[:n]
 
 
 def _average(a, b):
@@ -727,12 +766,13 @@ class Group:
         lengths = [max(1, total // 40 >> k // 2) for k in range(LENGTHS)]
         cached = [max(1, total // 8 >> CACHE_BITS)] * (1 << CACHE_BITS)
         self.codes = [_write_lengths(w, code_lengths(c)) for c in (weights + lengths + cached, weights, weights, weights, [4] * 14 + [3] * 12 + [1] * 14)]
-        self.head = np.unpackbits(np.frombuffer(w.value.to_bytes(w.n + 7 >> 3, "little"), np.uint8), bitorder="little")[: w.n]
-        self.cost = np.array(self.codes[1].lengths)
+        self.head, self.bits = w.value, w.n
+        self.literals = [tuple(v.astype(np.uint64) for v in c.written) for c in self.codes[:4]]
+        self.cost = np.array(self.codes[1].lengths, np.uint8)
 
     def bits_for(self, x: np.ndarray) -> int:
         """Bits of all pixels as literals."""
-        return int(np.bincount(x.reshape(-1), minlength=256) @ self.cost)
+        return int(self.cost.take(x).sum())
 
 
 @lru_cache(1)
@@ -773,44 +813,52 @@ def _repeats(px: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _stream(px: np.ndarray, width: int, group: Group, step: int = 1 << 16) -> list[np.ndarray]:
-    """The bits of pixels, one to a byte: copies, places of the colour cache, literals."""
-    slot = (px.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
+def _stream(px: np.ndarray, width: int, group: Group, head: int, at: int) -> bytes:
+    """The first `at` bits, which are those of head, and then pixels: copies, places of the colour cache, literals."""
+    slot = (px * np.uint32(CACHE_MULTIPLIER) >> np.uint32(32 - CACHE_BITS)).astype(np.uint8)
     order = np.argsort(slot, kind="stable")
-    again = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+    by_slot = px[order]
+    again = (slot[order[1:]] == slot[order[:-1]]) & (by_slot[1:] == by_slot[:-1])
     cached = np.zeros(len(px), bool)
     cached[order[1:][again]] = True
+    green, red, blue, alpha = group.literals
+    # the codes of a pixel follow each other in one number of 60 bits at most
+    g = px >> np.uint32(8) & np.uint32(255)
+    g[cached] = slot[cached] + np.uint32(LITERALS + LENGTHS)
+    word, size = green[0][g], green[1][g]
+    plain = np.flatnonzero(~cached)
+    for (bits, lengths), shift in ((red, 16), (blue, 0), (alpha, 24)):
+        v = px[plain] >> np.uint32(shift) & np.uint32(255)
+        word[plain] |= bits[v] << size[plain]
+        size[plain] += lengths[v]
     copies = _repeats(px)
-    covered = np.zeros(len(px) + 1, np.int32)
-    for c, n, _ in copies:
-        covered[c] += 1
-        covered[c + n] -= 1
-    free = np.cumsum(covered[:-1]) == 0
-    free[[c for c, _, _ in copies]] = True
-    at = np.flatnonzero(free)
-    codes = np.zeros((len(px), 4), np.int64)
-    sizes = np.zeros((len(px), 4), np.int64)
-    for k, shift in enumerate((8, 16, 0, 24)):
-        bits, lengths = group.codes[k].written
-        v = (px >> np.uint32(shift) & np.uint32(255)).astype(np.int64)
-        if not k:
-            v = np.where(cached, LITERALS + LENGTHS + slot.astype(np.int64), v)
-        codes[:, k] = bits[v]
-        sizes[:, k] = np.where(cached, 0, lengths[v]) if k else lengths[v]
-    near = _near(width)
-    (gb, gn), (db, dn) = group.codes[0].written, group.codes[4].written
-    for c, n, back in copies:
-        s, extra, m = _prefix(n)
-        d, more, k = _prefix(near.get(back, back + len(NEAR)))
-        codes[c] = gb[LITERALS + s], extra, db[d], more
-        sizes[c] = gn[LITERALS + s], m, dn[d], k
-    out = []
-    for i in range(0, len(at), step):
-        code, size = codes[at[i : i + step]].reshape(-1), sizes[at[i : i + step]].reshape(-1)
-        ends = np.cumsum(size)
-        offset = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        out.append((np.repeat(code, size) >> offset & 1).astype(np.uint8))
-    return out
+    if copies:
+        free = np.ones(len(px), bool)
+        near = _near(width)
+        (gb, gn), (db, dn) = group.codes[0].written, group.codes[4].written
+        for c, n, back in copies:
+            free[c + 1 : c + n] = False
+            s, extra, m = _prefix(n)
+            d, more, k = _prefix(near.get(back, back + len(NEAR)))
+            parts = ((int(gb[LITERALS + s]), int(gn[LITERALS + s])), (extra, m), (int(db[d]), int(dn[d])), (more, k))
+            value = count = 0
+            for v, w in parts:
+                value |= v << count
+                count += w
+            word[c], size[c] = value, count
+        word, size = word[free], size[free]
+    ends = np.cumsum(size, dtype=np.int64) + at
+    starts = ends - size.astype(np.int64)
+    out = np.zeros((int(ends[-1]) >> 6) + 2, "<u8")
+    whole, inside = starts >> 6, (starts & 63).astype(np.uint64)
+    first = np.flatnonzero(np.diff(whole, prepend=-1))
+    out[whole[first]] = np.bitwise_or.reduceat(word << inside, first)
+    # only the last pixel that begins in a word reaches into the next
+    last = np.append(first[1:], len(whole)) - 1
+    out[whole[last] + 1] |= (word[last] >> np.uint64(1)) >> (np.uint64(63) - inside[last])
+    begun = np.frombuffer(head.to_bytes((at >> 6) * 8 + 8, "little"), "<u8")
+    out[: len(begun)] |= begun
+    return out.tobytes()[: int(ends[-1]) + 7 >> 3]
 
 
 def _differences(x: np.ndarray, mode: int) -> np.ndarray:
@@ -819,13 +867,15 @@ def _differences(x: np.ndarray, mode: int) -> np.ndarray:
     out[0, 0] -= np.array([255, 0, 0, 0], np.uint8)
     out[0, 1:] -= x[0, :-1]
     out[1:, 0] -= x[:-1, 0]
-    if mode == 1:
-        out[1:, 1:] -= x[1:, :-1]
-    elif len(x) > 1:
-        out[1:, 1:] -= _row_prediction(mode, x[:-1], x[1:, 0])
+    out[1:, 1:] = _inner_differences(x, mode)
     return out
 
 
+def _inner_differences(x: np.ndarray, mode: int) -> np.ndarray:
+    """The predictor transform but for the first row and column."""
+    return x[1:, 1:] - (x[1:, :-1] if mode == 1 else _row_prediction(mode, x[:-1], x[1:, 0]))
+
+
 def _cross_factors(x: np.ndarray) -> tuple[int, int, int]:
     """Least-squares factors of red to blue, green to blue and green to red, in thirty-seconds."""
     v = x.view(np.int8).astype(float)
@@ -868,9 +918,11 @@ def encode_stored(x: np.ndarray) -> bytes:
         chosen = small
     else:
         cost = text.bits_for(x)
-        best = min(((small.bits_for(y), mode, y) for mode in BY_ROWS for y in [_differences(x, mode)]), key=lambda t: t[:2])
-        if best[0] < cost:
-            _, mode, x = best
+        # the first row and column are the same in all modes
+        edge = small.bits_for(_differences(x[:1], 1)) + small.bits_for(x[1:, 0] - x[:-1, 0])
+        best, mode = min((small.bits_for(_inner_differences(x, mode)), mode) for mode in BY_ROWS)
+        if edge + best < cost:
+            x = _differences(x, mode)
             chosen = small
             w.bits(1 | PREDICTOR << 1, 3)
             w.bits(side - 2, 3)
@@ -888,6 +940,6 @@ def encode_stored(x: np.ndarray) -> bytes:
                 w.bits(1 | GREEN << 1, 3)
                 x = greened
     w.bits(0, 1)
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes(w.n + 7 >> 3, "little"), np.uint8), bitorder="little")[: w.n]
+    w.bits(chosen.head, chosen.bits)
     px = np.ascontiguousarray(x).reshape(-1, 4).view(">u4").ravel().astype(np.uint32)
-    return _file(np.packbits(np.concatenate([head, chosen.head, *_stream(px, x.shape[1], chosen)]), bitorder="little").tobytes())
+    return _file(_stream(px, x.shape[1], chosen, w.value, w.n))

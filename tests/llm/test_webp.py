@@ -151,3 +151,27 @@ def test_more_rows_than_an_image_may_have():
 def test_bad_files():
     with pytest.raises(ValueError):
         decode(b"RIFF\0\0\0\0WEBPVP8 " + bytes(20))
+
+
+def test_cache_and_copies_of_all_kinds():
+    # copied pixels enter the cache, literals and copies take each other's places, copies overlap themselves
+    r = np.random.default_rng(7)
+    for bits in (1, 2, 6, 10):
+        for k in range(6):
+            few = picture(12, 24, 5 + 9 * k, seed=10 * bits + k)
+            x = np.concatenate([few, few[r.permutation(12)], np.repeat(few[:, :3], 8, axis=1), picture(4, 24, seed=k), few[::-1]])
+            same(x, cache_bits=bits, references=True)
+            assert (decode(encode(x, cache_bits=bits, references=True, split=2)) == x).all()
+
+
+def test_writing_holds_no_number_for_each_bit():
+    import tracemalloc
+
+    raw = padded(prose(170000, 5).encode())
+    x = np.frombuffer(raw, np.uint8).reshape(-1, 144, 4)
+    encode_stored(x[:4])
+    tracemalloc.start()
+    data = encode_stored(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (decode(data) == x).all() and peak < 40 * len(raw)
