@@ -32,7 +32,7 @@ BUCKET_BITS = 18
 _KEPT = 56
 _MASK = (1 << _KEPT) - 1
 #: Passes over the prefix words: each moves this share of them, and their shuffle files go before the next.
-PASSES = 4
+PASSES = 2
 #: Lines at the front of a key's group that the others are verified against before the join.
 HEADS = 8
 _BLANK = r"[\x20\x09-\x0D]"
@@ -57,13 +57,11 @@ def rarity_table(docs: DataFrame) -> bytearray:
     return bytearray(out.tobytes())
 
 
-def _line_ids(every: DataFrame) -> tuple[Column, str]:
-    """A long that orders lines by (doc_id, line_no), and the column to take minima by; where doc_ids leave no room, a struct to sort by."""
+def _line_span(every: DataFrame) -> int | None:
+    """A number by which a long doc_id * span + line_no orders lines by (doc_id, line_no); None where doc_ids leave no room."""
     r = every.agg(F.max("line_no").alias("lines"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     span = (r["lines"] or 0) + 1
-    if r["low"] is None or max(abs(r["low"]), abs(r["high"]) + 1) * span < 1 << 62:
-        return F.col("doc_id") * span + F.col("line_no"), "id"
-    return F.lit(None).cast("long"), "doc_id"
+    return span if r["low"] is None or max(abs(r["low"]), abs(r["high"]) + 1) * span < 1 << 62 else None
 
 
 def word_sets(line: Column, table: bytearray) -> Column:
@@ -128,20 +126,21 @@ def _allowed(za: str, zb: str, a: str, b: str, p: int, q: int) -> str:
     return f"{place} and {_alike(na, nb, a, b, p, q)}"
 
 
-def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, table: bytearray, threshold, scratch: Scratch) -> DataFrame:
-    """ib: the later lines of the pairs (ia, ib) whose full sets reach the threshold."""
+def _verified(docs: DataFrame, places, pairs: DataFrame, table: bytearray, threshold, scratch: Scratch) -> DataFrame:
+    """ib: the later lines of the pairs (ia, ib) whose full sets reach the threshold. places: adds doc_id and line_no to ids."""
     p, q = threshold
     wanted = pairs.select(F.col("ia").alias("id")).unionByName(pairs.select(F.col("ib").alias("id"))).distinct()
-    by_doc = first.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "id"))).alias("ids")).withColumnRenamed("doc_id", "d")
+    by_doc = places(wanted).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "id"))).alias("ids")).withColumnRenamed("doc_id", "d")
     numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.element_at("ids", i).alias("id"), line.alias("line")))
-    again = docs.join(by_doc, F.col("doc_id") == F.col("d")).select(F.inline(F.filter(numbered, lambda s: s["id"].isNotNull())))
+    again = docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("d")).select(F.inline(F.filter(numbered, lambda s: s["id"].isNotNull())))
     full = scratch.save(again.select("id", word_sets(F.col("line"), table).alias("w")), hashes=True)
     scratch.settle()
     x = full.select(F.col("id").alias("ia"), F.col("w").alias("x"))
     y = full.select(F.col("id").alias("ib"), F.col("w").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     # common / (x + y - common) >= p / q, with the common words counted once
-    return pairs.join(x, "ia").join(y, "ib").where(common * (p + q) >= p * (F.size("x") + F.size("y"))).select("ib").distinct()
+    # the sets are what is held: an id has one, however many pairs it is in
+    return pairs.join(x.hint("shuffle_hash"), "ia").join(y.hint("shuffle_hash"), "ib").where(common * (p + q) >= p * (F.size("x") + F.size("y"))).select("ib").distinct()
 
 
 def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None = None) -> DataFrame:
@@ -156,35 +155,50 @@ def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None =
     every = scratch.save(sets.select(*kept, F.slice(least, 1, 4).alias("least")).withColumn("keys", keys).drop("least"), hashes=True)
     named = every.where("n > 0 and doc_id is not null")
     # equal sets (by 64 bits of hash, 128 of parity and the size): the first line stands for all; ids follow the order of lines
-    id_, order = _line_ids(every)
-    groups = named.withColumn("id", id_).groupBy("k", "n", "bits", "odd")
-    if order == "id":
-        # the least id alone is a sum in place; its row is fetched afterwards, so that no prefix is sorted by group
-        least_ids = groups.agg(F.min("id").alias("id")).select("id", "k")
-        rows = every.where("line_no = 0 and doc_id is not null").groupBy("doc_id").count()
+    span = _line_span(every)
+    same = ["k", "n", "bits", "odd"]
+    if span:
+        # only ids and hashes move to find the first lines; their prefixes follow once it is known which of them go on
+        named = named.withColumn("id", F.col("doc_id") * span + F.col("line_no"))
+        line_no = F.pmod("id", F.lit(span).cast("long"))
+        places = lambda ids: ids.withColumn("line_no", line_no.cast("int")).withColumn("doc_id", F.expr(f"(id - pmod(id, {span}L)) div {span}L"))
         # where rows share a doc_id, an id may have two sets, or one set twice
-        by = ["id"] if rows.where("count > 1").isEmpty() else ["id", "k"]
-        first = named.withColumn("id", id_).join(least_ids.select(by), by, "left_semi")
-        first = (first if by == ["id"] else first.dropDuplicates(by)).select("id", "doc_id", "line_no", "prefix", "keys", "n", "bits", "odd")
+        lone = every.where("line_no = 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+        by = ["id"] if lone else ["id", "k"]
+        two = [F.get(F.col("keys"), F.lit(i)).alias(f"key{i}") for i in range(2)]
+        groups = named.select("id", *same, *two).groupBy(*same, "key0", "key1").agg(F.min("id").alias("id"))
+        first = scratch.save(groups.withColumn("keys", F.array_compact(F.array("key0", "key1"))).drop("key0", "key1"), hashes=True)
+        scratch.settle()
     else:
-        first = groups.agg(F.min(F.struct("doc_id", "line_no", "prefix", "keys")).alias("m")).select("m.*", "n", "bits", "odd")
-        first = first.orderBy("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id())
-    first = scratch.save(first, hashes=True)
-    equal = scratch.save(named.select("doc_id", "line_no").join(first.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
-    scratch.drop(every)
-    scratch.settle()
+        first = named.groupBy(*same).agg(F.min(F.struct("doc_id", "line_no", "prefix", "keys")).alias("m")).select("m.*", *same)
+        named = first = scratch.save(first.orderBy("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id()), hashes=True)
+        places = lambda ids: first.select("id", "doc_id", "line_no").join(ids, "id", "left_semi")
+        by, lone = ["id"], True
+        equal = scratch.save(every.where("n > 0 and doc_id is not null").select("doc_id", "line_no").join(first.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
+        scratch.drop(every)
+        scratch.settle()
     # each line against the first lines of the groups of its keys; most keys have one line and end here
     keyed = first.select("id", "n", "bits", "odd", F.explode("keys").alias("key"))
-    shared = scratch.save(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key", "left_semi"), hashes=True)
-    place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    heads = shared.withColumn("r", place).where(F.col("r") <= HEADS).select("key", F.col("id").alias("ia"), *[F.col(c).alias("a_" + c) for c in ("n", "bits", "odd")])
+    in_group = Window.partitionBy("key").orderBy("id")
+    ranked = keyed.withColumn("r", F.row_number().over(in_group)).withColumn("next", F.lead("id").over(in_group))
+    shared = scratch.save(ranked.where("r > 1 or next is not null").drop("next"), hashes=True)
+    heads = shared.where(F.col("r") <= HEADS).select("key", F.col("id").alias("ia"), *[F.col(c).alias("a_" + c) for c in ("n", "bits", "odd")])
     led = shared.join(heads, "key").where(F.expr(f"ia < id and {_alike('a_n', 'n', 'a_', '', p, q)}"))
     pairs = scratch.save(led.select("ia", F.col("id").alias("ib")).distinct())
     scratch.drop(shared)
-    done = scratch.save(_verified(docs, first, pairs, table, threshold, scratch))
+    done = scratch.save(_verified(docs, places, pairs, table, threshold, scratch))
     # all other pairs: the smaller line's shorter prefix meets the larger one's whole prefix
-    marked = scratch.save(first.join(done.withColumnRenamed("ib", "id").withColumn("gone", F.lit(1)), "id", "left").select("id", "doc_id", "line_no", "n", "bits", "odd", "prefix", F.col("gone").isNull().cast("int").alias("open")), hashes=True)
-    scratch.drop(first)
+    state = first.select(*by).join(done.withColumnRenamed("ib", "id").withColumn("gone", F.lit(1)), "id", "left").select(*by, F.col("gone").isNull().cast("int").alias("open"))
+    # lines that are not the first of their set have no state
+    stated = named.select(*dict.fromkeys([*by, "n", "bits", "odd", "prefix"])).join(state, by, "left")
+    stated = scratch.save(stated.select("id", "n", "bits", "odd", F.when(F.col("open").isNotNull(), F.col("prefix")).alias("prefix"), "open"), hashes=True)
+    marked = stated.where("open is not null")
+    marked = marked if lone else scratch.save(marked.dropDuplicates(["id", "prefix"]), hashes=True)
+    if span:
+        equal = stated.where("open is null").select("id")
+        equal = places(equal if lone else equal.join(first.select("id"), "id", "left_anti")).select("doc_id", "line_no")
+        scratch.drop(every, *[first] * lone)
+    scratch.settle()
 
     def share(size: str, k: int) -> DataFrame:
         words = marked.select("id", "n", "bits", "odd", "open", F.posexplode(F.expr(f"slice(prefix, 1, {size})")).alias("i", "w")).where(F.pmod("w", F.lit(PASSES)) == k)
@@ -199,8 +213,8 @@ def similar_lines(docs: DataFrame, threshold=JACCARD, scratch: Scratch | None =
         parts.append(scratch.save(met.select(F.expr("least(a.id, b.id)").alias("ia"), F.expr("greatest(a.id, b.id)").alias("ib")).distinct()))
         scratch.settle()
     more = reduce(DataFrame.unionByName, parts).distinct()
-    found = scratch.save(done.unionByName(_verified(docs, marked, more.join(pairs, ["ia", "ib"], "left_anti"), table, threshold, scratch)))
-    near = marked.join(found, F.col("id") == F.col("ib"), "left_semi").select("doc_id", "line_no")
+    found = scratch.save(done.unionByName(_verified(docs, places, more.join(pairs, ["ia", "ib"], "left_anti"), table, threshold, scratch)))
+    near = places(found.select(F.col("ib").alias("id")).distinct()).select("doc_id", "line_no")
     # what is similar to the first of equal lines removes that one; its copies are removed already
     return equal.unionByName(near).distinct()
 

@@ -210,3 +210,18 @@ def test_lines_of_a_large_group_and_a_common_word(spark):
     texts[60] = "the " + prose(400, 5)
     got = {r.doc_id: list(r.removed) for r in deduplicate_lines(docs(spark, texts)).collect()}
     assert got == later_lines(texts) and any(got.values()) and any(not x for i, x in got.items() if i)
+
+
+def test_lines_of_rows_that_share_a_doc_id_and_are_similar_to_others(spark):
+    # line 0 of document 1 has two sets, each similar to another document's line
+    a, b = prose(40, 11), prose(40, 12)
+    rows = [(1, a), (1, b), (2, edited(a, 25, 3)), (3, edited(b, 25, 4))]
+    got = deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, tuple(r.removed)) for r in got) == [(1, ()), (1, ()), (2, (0,)), (3, (0,))]
+
+
+def test_lines_of_ids_without_room_for_line_numbers(spark):
+    base = [prose(n, n) for n in (8, 30, 60)]
+    texts = {2**62: "\n".join(base), 2**62 + 1: "\n".join([edited(base[1], 25, 1), base[2], prose(20, 5), base[0]]), -(2**62): base[2]}
+    got = {r.doc_id: list(r.removed) for r in deduplicate_lines(docs(spark, texts)).collect()}
+    assert got == later_lines(texts) and sum(map(len, got.values())) == 4
