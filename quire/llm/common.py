@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -46,8 +47,11 @@ class Scratch:
 
     def settle(self) -> None:
         """Let Spark delete the shuffle files of finished steps now, not whenever the driver next collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        # the last step is held until its listeners have heard of its end, so its own files go with the second collection
+        for wait in (0.5, 0):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(wait)
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of save() that no later plan reads."""

@@ -1,10 +1,13 @@
 import hashlib
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch
 from quire.llm.components import components
-from quire.llm.line_dedup import deduplicate_lines, without_lines
+from quire.llm.line_dedup import _among, deduplicate_lines, without_lines
 from quire.llm.near_dedup import deduplicated, near_duplicates
 from quire.llm.suffix_dedup import STRETCH, repeated_strings
 from tests.llm.helpers import bag, docs, edited, prose, tokens
@@ -225,3 +228,20 @@ def test_lines_of_ids_without_room_for_line_numbers(spark):
     texts = {2**62: "\n".join(base), 2**62 + 1: "\n".join([edited(base[1], 25, 1), base[2], prose(20, 5), base[0]]), -(2**62): base[2]}
     got = {r.doc_id: list(r.removed) for r in deduplicate_lines(docs(spark, texts)).collect()}
     assert got == later_lines(texts) and sum(map(len, got.values())) == 4
+
+
+def test_settled_steps_leave_no_shuffles(spark):
+    scratch = Scratch(spark, "settled")
+    live = lambda: set(re.findall(r"\d+", str(spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().keys())))
+    scratch.settle()
+    before = live()
+    scratch.save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    scratch.settle()
+    time.sleep(1)
+    assert live() <= before
+
+
+def test_documents_without_wanted_lines_are_left_out(spark):
+    ids = spark.createDataFrame([(7 * i - 100,) for i in range(50)], "d long")
+    got = {r.id for r in spark.range(-1000, 20000).where(_among("id", ids, 50)).collect()}
+    assert got >= {7 * i - 100 for i in range(50)} and len(got) < 4000
